@@ -82,3 +82,27 @@ def per_row(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Iterat
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+#: Ids that are broadcast at most, 8 bytes each; beyond that the join is by sort and merge.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def keep_ids(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is kept; decisions: a materialised table (doc_id, kept) with a row per row of docs.
+
+    Documents whose rows are all dropped go. The ids to drop are broadcast where they are few, so that texts are not
+    shuffled; otherwise both sides are sorted by id. Of rows that repeat a kept doc_id one stays.
+    """
+    by_id = decisions.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    dropped = materialise(by_id.filter("NOT kept").select(F.col("doc_id").alias("dropped_id")), "dropped-ids")
+    few = dropped.count() <= MAX_BROADCAST_IDS
+    match = docs["doc_id"].eqNullSafe(F.col("dropped_id"))
+    rest = docs.join(F.broadcast(dropped) if few else dropped.hint("merge"), match, "left_anti")
+    repeated = materialise(by_id.filter("kept AND n > 1").select(F.col("doc_id").alias("repeated_id")), "repeated-ids")
+    if repeated.isEmpty():
+        return rest
+    twice = repeated.hint("merge")
+    match = rest["doc_id"].eqNullSafe(F.col("repeated_id"))
+    once = rest.join(twice, match, "left_anti")
+    return once.unionByName(rest.join(twice, match, "left_semi").dropDuplicates(["doc_id"]))

@@ -146,13 +146,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     text = "".join([*out, text[at:]])
             yield (*rest, text)
 
-    from pyspark.sql.types import StructType
-
     names = docs.columns
-    others = [c for c in names if c != "text"]
-    arranged = docs.select(*others, "text")
-    schema = StructType([arranged.schema[c] for c in [*others, "text"]])
-    done = per_row(arranged, schema.toDDL() if hasattr(schema, "toDDL") else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), rows)
+    arranged = docs.select(*(c for c in names if c != "text"), "text")
+    done = per_row(arranged, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arranged.schema), rows)
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.length(whole_text()).cast(docs.schema["n_chars"].dataType))
     return done.select(*names)
