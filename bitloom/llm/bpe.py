@@ -61,11 +61,11 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def _ranges(of: Callable[[str], bool]) -> str:
-    """A regex class body of the code points that satisfy `of`."""
-    out, start, last = [], None, None
-    for cp in range(sys.maxunicode + 2):
-        inside = cp <= sys.maxunicode and not 0xD800 <= cp < 0xE000 and of(chr(cp))
+def _ranges(of: Callable[[str], bool], top: int) -> str:
+    """A regex class body of the code points up to `top` that satisfy `of`."""
+    out, start = [], None
+    for cp in range(top + 2):
+        inside = cp <= top and not 0xD800 <= cp < 0xE000 and of(chr(cp))
         if inside and start is None:
             start = cp
         elif not inside and start is not None:
@@ -76,20 +76,19 @@ def _ranges(of: Callable[[str], bool]) -> str:
 
 #: White space as the splitting pattern of the vocabulary file means it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Texts are split with the smallest alphabet that holds them: classes over few code points match many times faster.
+ALPHABETS = (0x7F, 0x24F, 0xFFFF, sys.maxunicode)
+_BEYOND = [re.compile(f"[^\\x00-\\U{top:08x}]") for top in ALPHABETS[:-1]]
 
 
-@lru_cache(maxsize=1)
-def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """The word pattern over ASCII, over all code points, and code points that this Python does not know."""
-    whole = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
-    letters = _ranges(lambda c: unicodedata.category(c)[0] == "L")
-    numbers = _ranges(lambda c: unicodedata.category(c)[0] == "N")
-    unknown = _ranges(lambda c: unicodedata.category(c) == "Cn")
-    return (
-        re.compile(whole.format(L="a-z", N="0-9", S="\\t-\\r ")),
-        re.compile(whole.format(L=letters, N=numbers, S=SPACE)),
-        re.compile(f"[{unknown}]"),
-    )
+@lru_cache(maxsize=len(ALPHABETS))
+def _patterns(top: int) -> tuple[re.Pattern, re.Pattern | None]:
+    """The word pattern for texts of code points up to `top`, and a pattern of those that this Python does not know."""
+    letters = _ranges(lambda c: unicodedata.category(c)[0] == "L", top)
+    numbers = _ranges(lambda c: unicodedata.category(c)[0] == "N", top)
+    unknown = _ranges(lambda c: unicodedata.category(c) == "Cn", top)
+    words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
+    return words, re.compile(f"[{unknown}]") if unknown else None
 
 
 class WordBpe:
@@ -161,14 +160,17 @@ class WordBpe:
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens, normalised (NFC, lower case)."""
-        ascii_words, all_words, unknown = _patterns()
         if text.isascii():
-            return ascii_words.findall(text.lower())
-        if unknown.search(text):
+            return _patterns(ALPHABETS[0])[0].findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        low = text.replace("Σ", "σ").lower()
+        top = next((t for t, beyond in zip(ALPHABETS, _BEYOND) if not beyond.search(low)), sys.maxunicode)
+        words, unknown = _patterns(top)
+        if unknown and unknown.search(text):
             mapped = self.library().pre_tokenizer.pre_tokenize_str(self.library().normalizer.normalize_str(text))
             back = {s: b for b, s in enumerate(self.byte_symbols)}
             return [bytes(back[c] for c in w).decode("utf-8") for w, _ in mapped]
-        return all_words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return words.findall(low)
 
     def pieces(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
         """(None, words) and (special id, []) in the order of the text."""

@@ -16,6 +16,7 @@ empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -77,7 +78,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
 
         def make(word: str) -> bytes:
             mapped = word if word.isascii() and word.isalnum() else "".join(symbol[b] for b in word.encode("utf-8"))
-            return np.array([t.id for t in model.tokenize(mapped)], dtype="<u4").tobytes()
+            found = model.tokenize(mapped)
+            return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
         words = cache(bpe.path, "u32", make)
         for doc_id, text in source:
