@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset on a single machine a folder of our own is set; on a cluster there is no folder that could be
-    guessed, so that is an error.
+    Where it is unset on a single machine, a folder of the application's own is used; on a cluster there is no folder
+    that could be guessed, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -22,9 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"file:///tmp/checkpoints/bitloom-{spark.sparkContext.applicationId}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
