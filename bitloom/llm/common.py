@@ -73,6 +73,8 @@ def per_row(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Iterat
                 held = []
         if held:
             yield _batch(held, out)
+        held = None
+        pa.default_memory_pool().release_unused()  # workers serve many tasks
 
     return df.mapInArrow(run, schema)
 

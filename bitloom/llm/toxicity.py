@@ -36,6 +36,9 @@ MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 6_000, 14_000, 4_000
 #: Tokens of a training segment, and segments that are used.
 SEGMENT, MAX_SEGMENTS = 24, 20_000
 
+#: Words whose features a worker remembers.
+MEMORY_WORDS = 60_000
+
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -136,7 +139,7 @@ class Scorer:
         weights = field.weights
         if key not in _MEMORY:
             _MEMORY.clear()
-            _MEMORY[key] = WordCache(lambda w: tuple(weights[f] for f in features(w) if f in weights))
+            _MEMORY[key] = WordCache(lambda w: tuple(weights[f] for f in features(w) if f in weights), MEMORY_WORDS)
         self.words = _MEMORY[key]
 
     def read(self, text: str) -> tuple[str, list[int], list[float]]:
@@ -190,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         for toxic, text in source:
             seen = {f for w in set(_TOKEN.findall(text.lower())) for f in features(w)}
             held.update((f, toxic) for f in seen)
-            if len(held) > 500_000:
+            if len(held) > 50_000:
                 yield from ((f, n * y, n) for (f, y), n in held.items())
                 held.clear()
         yield from ((f, n * y, n) for (f, y), n in held.items())
@@ -211,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     index = {f: i for i, f in enumerate(names)}
 
     def segments(source):
-        memory = WordCache(lambda w: [index[f] for f in features(w) if f in index])
+        memory = WordCache(lambda w: [index[f] for f in features(w) if f in index], MEMORY_WORDS)
         for toxic, text in source:
             found = list(map(memory.__getitem__, _TOKEN.findall(text.lower())))
             for at in range(0, len(found), SEGMENT):
@@ -225,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     field = Field(dict(zip(names, weights)), bias, transitions, [])
 
     def measure(source):
+        _MEMORY.clear()
         scorer = Scorer(field, f"fit-{id(field)}")
         for toxic, text in source:
             _, _, m = scorer.read(text)

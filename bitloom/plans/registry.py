@@ -22,3 +22,11 @@ def query(name: str, sql: str | None = None):
         return build
 
     return keep
+
+
+def _register() -> None:
+    """Import the plan modules, which register their queries."""
+    from bitloom.plans import text_plans  # noqa: F401
+
+
+_register()
