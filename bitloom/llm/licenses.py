@@ -21,8 +21,6 @@ from bitloom.llm.common import per_row, text_bytes
 
 #: Words of a match, words between chained matches, and covered words that make a label.
 MIN_MATCH, MAX_GAP, MIN_COVERED = 4, 24, 12
-#: Chained matches looked back at.
-LOOK_BACK = 32
 
 #: label -> phrase whose consecutive words count as base findings.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -204,11 +202,14 @@ class LicenseScanner:
         out = []
         for name, found in per_template.items():
             found.sort()
+            reach = MAX_GAP + max(end - start for start, end, _ in found)
             best, source = [], []
             for i, (start, end, place) in enumerate(found):
                 cover, came = end - start, -1
-                for j in range(max(0, i - LOOK_BACK), i):
+                for j in range(i - 1, -1, -1):
                     s, e, p = found[j]
+                    if start - s > reach:
+                        break
                     ahead, forth = start - s, place - p
                     if ahead > 0 and forth > 0 and start - e <= MAX_GAP and place - (p + e - s) <= MAX_GAP:
                         gained = best[j] + min(end - max(start, e), place + end - start - max(place, p + e - s))
