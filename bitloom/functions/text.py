@@ -104,3 +104,11 @@ def byte_tensor(c: Column, least: int = 128) -> Column:
     pairs = F.regexp_extract_all(F.hex(c.cast("binary")), F.lit(".."), F.lit(0))
     flat = F.flatten(F.transform(pairs, lambda p: F.array(F.conv(p, 16, 10).cast("double") / 255, F.lit(0.0))))
     return F.concat(flat, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(least) - F.size(flat))))
+
+
+def apply_template(prompt: Column, model_path: Column) -> Column:
+    """The prompt in a chat template, where the model's path names an instruction-tuned model that uses it and the prompt has no control tokens yet."""
+    path = F.lower(model_path)
+    wanted = F.contains(path, F.lit("qwen")) & (F.contains(path, F.lit("instruct")) | F.contains(path, F.lit("chat_template")))
+    bare = ~F.contains(prompt, F.lit("<|im_start|>"))
+    return F.when(wanted & bare, F.concat(F.lit("<|im_start|>user\n"), prompt, F.lit("<|im_end|>\n<|im_start|>assistant\n"))).otherwise(prompt)
