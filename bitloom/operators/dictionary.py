@@ -92,14 +92,18 @@ def fused_product(codes: DataFrame, atoms: DataFrame, x: DataFrame, scales: list
 
 
 def fit(tiles: DataFrame, n_atoms: int, scales: list[float], k: int, rounds: int, sample: int = 20_000) -> np.ndarray:
-    """Atoms fitted to a bounded sample of tiles, taken in hash order; everything else codes all tiles.
+    """Atoms fitted to a bounded sample of tiles, taken in hash order; everything else codes all tiles."""
+    rows = tiles.select("tile", "x").orderBy(F.xxhash64("tile"), "tile").limit(sample).collect()
+    return fit_rows(np.array([r["x"] for r in rows], dtype=np.float64), n_atoms, scales, k, rounds)
+
+
+def fit_rows(x: np.ndarray, n_atoms: int, scales: list[float], k: int, rounds: int) -> np.ndarray:
+    """Atoms fitted to rows of tiles.
 
     Atoms start as tiles of unit norm scaled to the mean norm; each round moves an atom by half of the mean signed
     remainder of the tiles that use it, caps its norm at one and a half of the start norm, and gives atoms that no tile
     uses the tile with the largest remainder.
     """
-    rows = tiles.select("tile", "x").orderBy(F.xxhash64("tile"), "tile").limit(sample).collect()
-    x = np.array([r["x"] for r in rows], dtype=np.float64)
     if not len(x):
         return np.zeros((0, 0))
     x = np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
@@ -155,3 +159,23 @@ def hybrid_codes(tiles: np.ndarray, atoms: np.ndarray, k: int) -> np.ndarray:
     first = np.einsum("nk,nkd->nd", sign, atoms[chosen])
     rest, c = real_codes(tiles - first, atoms, max(1, k // 2))
     return first + np.einsum("nk,nkd->nd", c, atoms[rest])
+
+
+def fit_groups(tiles: DataFrame, by: str, n_atoms: int, scales: list[float], k: int, rounds: int, sample: int = 2_000) -> DataFrame:
+    """(by, atom, x): one dictionary for each group, fitted to at most `sample` of its tiles in hash order.
+
+    Only the sample's rows are dealt by group, so a group of any size costs a task the same.
+    """
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64("tile"), "tile"))
+    # Rows beyond the sample are dropped on each side of the shuffle by the group limit that Catalyst infers from this filter.
+    bounded = tiles.select(by, "tile", "x").withColumn("_r", place).filter(F.col("_r") <= sample).drop("_r")
+
+    def run(pdf):
+        import pandas as pd
+
+        atoms = fit_rows(np.stack(pdf["x"].to_numpy()), n_atoms, scales, k, rounds)
+        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(atoms), "atom": range(len(atoms)), "x": list(atoms)})
+
+    return bounded.groupBy(by).applyInPandas(run, f"{by} {dict(tiles.dtypes)[by]}, atom int, x array<double>")

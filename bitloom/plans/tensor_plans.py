@@ -438,3 +438,32 @@ def broadcastable(spark, d):
     each = shapes.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
     fit = lambda i: (F.get("a", F.lit(i)) == F.get("b", F.lit(i))) | (F.get("a", F.lit(i)) == 1) | (F.get("b", F.lit(i)) == 1)
     return each.select("a", "b", (fit(0) & fit(1)).alias("ok"), (F.get("a", F.lit(1)) == F.get("b", F.lit(0))).alias("can_multiply"))
+
+
+@query("layer_graph", f"""WITH {_LONG}, a AS (SELECT vec_id, i, v, v / sqrt(avg(v * v) OVER (PARTITION BY vec_id) + 1e-5) AS n FROM v)
+    SELECT vec_id, i, round(v + greatest(n, 0.0) + tanh(n), 5) + 0.0 AS v FROM a""")
+def layer_graph(spark, d):
+    """A small graph of layers: a norm read by two activations, whose sum is added to the input."""
+    from bitloom.operators.layers import Graph, elementwise
+
+    plus = lambda *xs: xs[0] if len(xs) == 1 else F.zip_with(xs[0], plus(*xs[1:]), lambda a, b: a + b)
+    g = Graph().add("in", lambda x: x).add("norm", X.rms_norm, ["in"]).add("relu", elementwise("relu"), ["norm"]).add("tanh", elementwise("tanh"), ["norm"]).add("sum", plus, ["in", "relu", "tanh"])
+    return _out(g.run(vectors(spark, d), "x", "sum"), F.col("sum"), "vec_id", digits=5)
+
+
+@query("boundary_fit")
+def boundary_fit(spark, d):
+    """Boundaries of the value buckets after the optimiser's rounds (iterative; tested against a plain loop)."""
+    from bitloom.operators.layers import fit_boundaries
+
+    edges = fit_boundaries(table(spark, d, "events"), "value")
+    return spark.createDataFrame(list(enumerate(edges)), "boundary int, at double")
+
+
+@query("dictionary_fit_groups")
+def dictionary_fit_groups(spark, d):
+    """One dictionary for each label (iterative; tested on its error)."""
+    from bitloom.operators import dictionary as D
+
+    x = vectors(spark, d).select(F.col("vec_id").alias("tile"), "label", "x")
+    return D.fit_groups(x, "label", 16, D.gammas(2), 3, 4).select("label", "atom", F.size("x").alias("width"))
