@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: One punctuation mark, or a run of neither white space nor punctuation.
 TOKEN = r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+"
+RUN = r"[^\s!-/:-@\[-`{-~]+"
 PUNCTUATION = r"^[!-/:-@\[-`{-~]$"
 SPECIALS = "!@#$%^&*()_+-=[]{}`~|;:'\"<>,.?/\\"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,!?-'\"();:"
@@ -22,6 +23,12 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(c), F.lit(TOKEN), F.lit(0))
 
 
+def token_counts(c: Column) -> tuple[Column, Column]:
+    """Numbers of tokens and of punctuation marks among them, counted without making the tokens."""
+    marks = F.length(c) - F.length(F.regexp_replace(c, r"[!-/:-@\[-`{-~]+", ""))
+    return F.regexp_count(c, F.lit(RUN)) + marks, marks
+
+
 def word(c: Column) -> Column:
     """A token reduced to a-z and 0-9."""
     return F.regexp_replace(ascii_lower(c), "[^a-z0-9]", "")
@@ -29,7 +36,8 @@ def word(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Alphanumeric runs of a text, lower-cased."""
-    return F.regexp_extract_all(ascii_lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    # Lower-cased after the match: the words are ASCII, where lower() is exact and cheaper than translating whole texts.
+    return F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
 
 
 def word_bits(idx: Column, width: int = 10000) -> Column:

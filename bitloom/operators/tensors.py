@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,12 +98,21 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def gram(df: DataFrame, width: int) -> DataFrame:
-    """(i, j, v) of X^T X for rows `x` of a fixed width: each row gives its products, summed position by position.
+    """(i, j, v) of X^T X for rows `x` of a fixed width.
 
-    The products are aggregated before the shuffle; its rows are width^2 a task whatever the number of vectors.
+    Each task sums its batches' products with numpy and gives width^2 partial sums, whatever the number of rows; exploding
+    the products instead makes width^2 rows of every vector.
     """
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get("x", i) * F.get("x", j)).alias("v")))))
-    return df.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.sum("p.v").alias("v"))
+
+    def run(batches):
+        held = np.zeros((width, width))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            held += x.T @ x
+        i, j = np.divmod(np.arange(width * width, dtype=np.int32), width)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(held.ravel())], names=["i", "j", "v"])
+
+    return df.filter(F.size("x") == width).select("x").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def csr_row_pointers(long: DataFrame, rows: int) -> DataFrame:

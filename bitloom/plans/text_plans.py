@@ -16,9 +16,12 @@ _SPECIALS_SQL = T.SPECIALS.replace("'", "''")
 _ALPHABET_SQL = T.ALPHABET.replace("'", "''")
 
 
-def _doc_words(spark, d, name="documents", keys=("doc_id",)):
-    """(keys, pos, word) of all words."""
-    return table(spark, d, name).select(*keys, F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
+def _doc_words(spark, d):
+    """(doc_id, pos, word): each document's distinct words, numbered in the order in which they first occur.
+
+    Repeats go inside the row, before anything is exploded or shuffled.
+    """
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.array_distinct(T.words(F.col("text")))).alias("pos", "word"))
 
 
 _VOCABULARY_SQL = f"""
@@ -34,9 +37,8 @@ _VOCABULARY_SQL = f"""
     FROM (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '{_TOKEN_SQL}') AS t FROM documents)""")
 def token_counts(spark, d):
     """Tokens and punctuation marks of every document."""
-    t = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    marks = F.size(F.filter("t", lambda x: x.rlike(T.PUNCTUATION)))
-    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), marks.cast("long").alias("n_punctuation"))
+    tokens, marks = T.token_counts(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", tokens.cast("long").alias("n_tokens"), marks.cast("long").alias("n_punctuation"))
 
 
 @query("word_vocab", f"WITH {_VOCABULARY_SQL} SELECT word, idx FROM vocab")
@@ -50,7 +52,7 @@ def _doc_blocks(spark, d):
     """(doc_id, block): distinct blocks of eight positions of each document, and the vocabulary."""
     words = _doc_words(spark, d)
     vocabulary = ordering.vocabulary(words.withColumnRenamed("doc_id", "doc"))
-    return words.select("doc_id", "word").distinct().join(vocabulary, "word").select("doc_id", "word", "idx"), vocabulary
+    return words.select("doc_id", "word").join(vocabulary, "word").select("doc_id", "word", "idx"), vocabulary
 
 
 @query("word_bits", f"""
