@@ -97,12 +97,16 @@ def keep_ids(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     by_id = decisions.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     dropped = materialise(by_id.filter("NOT kept").select(F.col("doc_id").alias("dropped_id")), "dropped-ids")
     few = dropped.count() <= MAX_BROADCAST_IDS
-    match = docs["doc_id"].eqNullSafe(F.col("dropped_id"))
-    rest = docs.join(F.broadcast(dropped) if few else dropped.hint("merge"), match, "left_anti")
+
+    def held(side: DataFrame, column: str, how: str) -> DataFrame:
+        """Rows of docs by whether their doc_id is in the table; aliases keep columns of any name in docs apart."""
+        return docs_.join(side.alias("_ids"), F.col("_docs.doc_id").eqNullSafe(F.col(f"_ids.{column}")), how)
+
+    docs_ = docs.alias("_docs")
+    rest = held(F.broadcast(dropped) if few else dropped.hint("merge"), "dropped_id", "left_anti")
     repeated = materialise(by_id.filter("kept AND n > 1").select(F.col("doc_id").alias("repeated_id")), "repeated-ids")
     if repeated.isEmpty():
         return rest
+    docs_ = rest.alias("_docs")
     twice = repeated.hint("merge")
-    match = rest["doc_id"].eqNullSafe(F.col("repeated_id"))
-    once = rest.join(twice, match, "left_anti")
-    return once.unionByName(rest.join(twice, match, "left_semi").dropDuplicates(["doc_id"]))
+    return held(twice, "repeated_id", "left_anti").unionByName(held(twice, "repeated_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -3,7 +3,7 @@
 import random
 
 #: A table with nulls, empty and white texts, repeats, ties, a very long text, and columns of clashing names.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, kept boolean, digest string, spans string, key long, node long, t string, score double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, kept boolean, digest string, spans string, key long, node long, t string, score double, dropped_id long, repeated_id long"
 
 
 def texts(seed=1, n=40):
@@ -17,7 +17,7 @@ def texts(seed=1, n=40):
 
 def docs(spark, values=None):
     values = texts() if values is None else values
-    rows = [(i, t, None if i % 3 else "en", None, None if t is None else len(t), i, i % 2 == 0, "d", "s", 1, 2, "t", 0.5) for i, t in enumerate(values)]
+    rows = [(i, t, None if i % 3 else "en", None, None if t is None else len(t), i, i % 2 == 0, "d", "s", 1, 2, "t", 0.5, i, i) for i, t in enumerate(values)]
     return spark.createDataFrame(rows, SCHEMA)
 
 

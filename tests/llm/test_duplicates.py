@@ -127,3 +127,12 @@ def test_keep_ids(spark):
     kept = common.keep_ids(docs, flags)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 7), (True, 0)]
+
+
+def test_keep_ids_with_clashing_columns(spark):
+    docs = edge.docs(spark)
+    n = docs.count()
+    flags = spark.createDataFrame([(i, i % 4 != 0) for i in range(n)] + [(1, True)], "doc_id long, kept boolean")
+    kept = common.keep_ids(docs.unionByName(docs.filter("doc_id = 1")), flags)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(n) if i % 4]
