@@ -104,7 +104,7 @@ def _turn_words(spark, d):
     """(conv_id, turn, word, idx): distinct words of each turn, numbered by first turn, then word."""
     words = table(spark, d, "conversations").select("conv_id", "turn", F.explode(T.words(F.col("text"))).alias("word")).distinct()
     first = words.groupBy("word").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
-    vocabulary = ordering.global_rank(first, F.floor(F.col("at") / 128_000), [F.col("at"), F.col("word")], "idx").select("word", "idx")
+    vocabulary = ordering.global_rank(first, F.floor(F.col("at") / 128_000), [F.col("at"), F.col("word")], "idx", coarse=4096).select("word", "idx")
     return words.join(vocabulary, "word")
 
 
@@ -162,7 +162,7 @@ def _turn_bits(spark, d):
     number, mark = F.col("tok").rlike("^[0-9]+$"), F.col("tok").rlike(T.PUNCTUATION)
     words = toks.filter(~number & ~mark).select("conv_id", "turn", T.word(F.col("tok")).alias("word")).filter("word <> ''").distinct()
     first = words.groupBy("word").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
-    vocabulary = ordering.global_rank(first, F.floor(F.col("at") / 128_000), [F.col("at"), F.col("word")], "idx").select("word", "idx")
+    vocabulary = ordering.global_rank(first, F.floor(F.col("at") / 128_000), [F.col("at"), F.col("word")], "idx", coarse=4096).select("word", "idx")
     blocks = words.join(vocabulary, "word").select("conv_id", "turn", (F.col("idx") % 1250).alias("block")).distinct()
     word_part = blocks.select("conv_id", "turn", F.explode(T.word_bits(F.col("block"))).alias("pos"))
     marks = toks.filter(mark).select("conv_id", "turn", (F.ascii("tok") + 10000).cast("long").alias("pos"))
