@@ -144,3 +144,16 @@ def operation(name: Column, kind: Column, weights: Column, biases: Column, kerne
         .when(~weights & ~biases, "elementwise")
         .otherwise("unknown")
     )
+
+
+#: (name of a pattern, regex of base and number) of files in parts.
+PART_PATTERNS = (("of", r"^(.+)-([0-9]+)-of-[0-9]+\.[^.]+$"), ("suffix", r"^(.+)\.([0-9]+)$"), ("part", r"^(.+)_part([0-9]+)(?:\.[^.]+)?$"))
+
+
+def file_part(name: Column) -> Column:
+    """(base, pattern, number) of a file of a model in parts, null for other files."""
+    out = None
+    for label, p in PART_PATTERNS:
+        part = F.struct(F.regexp_extract(name, p, 1).alias("base"), F.lit(label).alias("pattern"), F.nullif(F.regexp_extract(name, p, 2), F.lit("")).cast("long").alias("number"))
+        out = F.when(name.rlike(p), part) if out is None else out.when(name.rlike(p), part)
+    return out

@@ -419,3 +419,17 @@ def quant_storage(spark, d):
     """Bytes of vectors, of 8-bit codes with a scale, and of grouped 4-bit codes."""
     n = C.packed(spark, d).groupBy("label").agg(F.sum(F.size("x")).alias("n"), F.count(F.lit(1)).alias("r"))
     return n.select("label", (F.col("n") * 4).alias("full_bytes"), (F.col("n") + F.col("r") * 4).alias("eight_bit"), (F.floor(F.col("n") / 2) + F.col("r") * 20).alias("four_bit"))
+
+
+@query("part_patterns", r"""
+    WITH f AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'net' || p_size % 4 || '-0000' || (p_partkey % 4 + 1) || '-of-00004.gguf' WHEN 1 THEN 'net' || p_size % 4 || '.gguf.0000' || (p_partkey % 5 + 1) ELSE 'net' || p_size % 4 || '_part' || (p_partkey % 6 + 1) || '.onnx' END AS file FROM part),
+    m AS (SELECT DISTINCT CASE WHEN regexp_matches(file, '^.+-[0-9]+-of-[0-9]+\.[^.]+$') THEN regexp_extract(file, '^(.+)-[0-9]+-of-', 1) WHEN regexp_matches(file, '^.+\.[0-9]+$') THEN regexp_extract(file, '^(.+)\.[0-9]+$', 1) ELSE regexp_extract(file, '^(.+)_part[0-9]+', 1) END AS base,
+        CASE WHEN regexp_matches(file, '^.+-[0-9]+-of-[0-9]+\.[^.]+$') THEN 'of' WHEN regexp_matches(file, '^.+\.[0-9]+$') THEN 'suffix' ELSE 'part' END AS pattern,
+        CAST(CASE WHEN regexp_matches(file, '^.+-[0-9]+-of-[0-9]+\.[^.]+$') THEN regexp_extract(file, '-([0-9]+)-of-', 1) WHEN regexp_matches(file, '^.+\.[0-9]+$') THEN regexp_extract(file, '\.([0-9]+)$', 1) ELSE regexp_extract(file, '_part([0-9]+)', 1) END AS BIGINT) AS number FROM f)
+    SELECT base, pattern, count(*) AS parts, count(*) = max(number) AND min(number) = 1 AS gapless FROM m GROUP BY base, pattern""")
+def part_patterns(spark, d):
+    """Models in parts by each of three ways of naming, and whether their numbers have no gaps."""
+    k, s = F.col("p_partkey"), F.concat(F.lit("net"), F.col("p_size") % 4)
+    file = F.when(k % 3 == 0, F.concat(s, F.lit("-0000"), k % 4 + 1, F.lit("-of-00004.gguf"))).when(k % 3 == 1, F.concat(s, F.lit(".gguf.0000"), k % 5 + 1)).otherwise(F.concat(s, F.lit("_part"), k % 6 + 1, F.lit(".onnx")))
+    m = table(spark, d, "part").select(M.file_part(file).alias("m")).select("m.*").distinct()
+    return m.groupBy("base", "pattern").agg(F.count(F.lit(1)).alias("parts"), ((F.count(F.lit(1)) == F.max("number")) & (F.min("number") == 1)).alias("gapless"))

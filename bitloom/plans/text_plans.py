@@ -304,3 +304,37 @@ def mean_token_length(spark, d):
     """Words and mean word length by role."""
     words = table(spark, d, "conversations").select("role", F.explode(T.words(F.col("text"))).alias("w"))
     return words.groupBy("role").agg(F.count(F.lit(1)).alias("n_words"), F.round(F.avg(F.length("w")), 6).alias("mean_length"))
+
+
+@query("set_vocabulary", f"""
+    WITH w AS (SELECT user_id AS ord, regexp_replace({_LOW.format("event_type || '-' || user_id % 40")}, '[^a-z0-9]', '', 'g') AS word FROM events), f AS (SELECT word, min(ord) AS ord FROM w WHERE word <> '' GROUP BY word)
+    SELECT word, row_number() OVER (ORDER BY ord, word) - 1 AS idx FROM f""")
+def set_vocabulary(spark, d):
+    """A given word list, normalised, each word once, in the order of the list."""
+    w = table(spark, d, "events").select(F.col("user_id").alias("ord"), T.word(F.concat_ws("-", "event_type", F.col("user_id") % 40)).alias("word")).filter("word <> ''")
+    first = w.groupBy("word").agg(F.min("ord").alias("ord"))
+    return ordering.global_rank(first, F.floor(F.col("ord") / 100), [F.col("ord"), F.col("word")], "idx", coarse=4096).select("word", F.col("idx").cast("long").alias("idx"))
+
+
+@query("sdr_decode", f"""
+    WITH {_TURN_BLOCKS_SQL}, found AS (SELECT b.conv_id, b.turn, v.idx, v.word, count(*) AS n FROM turn_bits b JOIN (SELECT word, idx, (idx * 8 + k) % 10000 AS pos FROM vocab WHERE idx < 1250, (SELECT unnest(range(8)) AS k)) v USING (pos) GROUP BY ALL HAVING count(*) >= 2)
+    SELECT conv_id, turn, string_agg(word, ' ' ORDER BY idx) AS text FROM found GROUP BY conv_id, turn""".replace("FROM vocab WHERE idx < 1250, (SELECT unnest(range(8)) AS k)", "FROM vocab, (SELECT unnest(range(8)) AS k) WHERE idx < 1250"))
+def sdr_decode(spark, d):
+    """Text of each turn's positions with the first 1,250 words as vocabulary, whose blocks do not overlap."""
+    words = _turn_words(spark, d)
+    blocks = words.select("conv_id", "turn", (F.col("idx") % 1250).alias("idx")).distinct()
+    vocabulary = words.filter("idx < 1250").select("word", "idx").distinct()
+    found = blocks.join(vocabulary, "idx").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("idx", "word"))).alias("w"))
+    return found.select("conv_id", "turn", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
+
+
+@query("sdr_file_bytes", f"""
+    WITH {_TOKEN_BITS_SQL} SELECT conv_id, turn, 2500 AS bytes, count(*) AS active, CAST(sum(pos) AS BIGINT) AS pos_sum FROM bits GROUP BY conv_id, turn""")
+def sdr_file_bytes(spark, d):
+    """Each turn's positions through packed bytes and back."""
+    from bitloom.sources import sdr_file
+
+    sets_of = _turn_bits(spark, d).groupBy("conv_id", "turn").agg(F.collect_list(F.col("pos").cast("long")).alias("pos"))
+    data = sets_of.select("conv_id", "turn", sdr_file.packed(F.col("pos")).alias("data"))
+    back = data.select("conv_id", "turn", F.octet_length("data").alias("bytes"), sdr_file.positions(sdr_file.from_binary(F.col("data"))).alias("p"))
+    return back.select("conv_id", "turn", "bytes", F.size("p").cast("long").alias("active"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("pos_sum"))

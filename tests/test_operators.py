@@ -174,3 +174,31 @@ def test_windows_leave_late_rows_out(spark, tmp_path):
         q.awaitTermination(120)
     first = [r["n"] for r in spark.read.parquet(str(tmp_path / "out")).filter("start = '2024-01-01 00:00:00'").collect()]
     assert first == [2]
+
+
+def test_bit_sets_in_files(spark, tmp_path):
+    from bitloom.sources import sdr_file
+
+    rows = [(0, []), (1, [0, 7, 8, 19999, 19999, 20000, -1]), (2, list(range(0, 20000, 3)))]
+    df = spark.createDataFrame(rows, "id long, pos array<long>")
+    for runs, gz in ((False, False), (True, True)):
+        sdr_file.write(df.filter("id < 2") if runs else df, str(tmp_path / f"f{runs}"), runs, gz)
+        got = {r["id"]: r["pos"] for r in sdr_file.read(spark, str(tmp_path / f"f{runs}")).collect()}
+        assert got[0] == [] and got[1] == [0, 7, 8, 19999]
+        assert runs or got[2] == rows[2][1]
+
+
+def test_generation_against_a_plain_loop(spark):
+    from bitloom.operators.generation import generate
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(30, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    ids = [3, 5]
+    for _ in range(4):
+        s = x @ x[ids].mean(axis=0) / 0.8
+        for i in set(ids):
+            s[i] = s[i] / 1.5 if s[i] > 0 else s[i] * 1.5
+        ids.append(int(s.argmax()))
+    assert generate(rows, [3, 5], 4) == ids[2:]
+    assert generate(rows, [99], 4) == [] and generate(rows, [3, 5], 4, end=ids[2]) == ids[2:3]
