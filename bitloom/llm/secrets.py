@@ -4,7 +4,7 @@ Base findings (assignments, access identifiers, long hex strings) are reported o
 of a credential are looked for: access identifiers, secret strings and endpoints. A part is strong when a base pattern
 vouches for it and weak when only its shape does (a short or client identifier, a high-entropy string, a service
 endpoint). Parts are intervals; each access identifier opens a scope of SCOPE code points to either side that ends at
-a blank line, and a sweep over the sorted intervals joins the parts that lie within a scope. A weak identifier,
+a blank line, and a sweep over the sorted intervals joins the parts that reach into a scope. A weak identifier,
 secret or endpoint is reported only when the scope holds complementary parts: an identifier and a secret at least.
 
 Defined results: a null or empty text has no findings; texts of any length are scanned whole and in time linear in
@@ -35,7 +35,9 @@ _HEX = re.compile(rb"[0-9a-f]{16,}")
 _WORDS = re.compile(rb"(?i)password|passwd|secret|token|api_?key")
 #: Weak shapes: identifiers named as such or cut short, and service endpoints.
 _WEAK_ID = re.compile(rb"(?i:\b(?:access[_-]?(?:key[_-]?)?id|client[_-]?id|account[_-]?id|app[_-]?id)\b[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9_.-]{6,64})|\b(A[KS]IA[A-Z0-9]{8,13})\b")
-_WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/=_-])")
+_WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/=_-])")
+#: What stands before a value that is assigned to a name of a secret.
+_SECRET_NAME = re.compile(rb"(?i:secret|token|passw|key|credential|signature)[A-Za-z0-9_.-]*[\"']?\x20*[:=]\x20*[\"']?\Z")
 _ENDPOINT = re.compile(rb"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~/-]*)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+){0,4}\.amazonaws\.com\b")
 
 
@@ -44,10 +46,18 @@ def _entropy(value: bytes) -> float:
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values())
 
 
-def _dense(value: bytes) -> bool:
-    """Whether a string looks like random key material: mixed classes and high entropy."""
-    mixed = any(48 <= c <= 57 for c in value) + any(65 <= c <= 90 for c in value) + any(97 <= c <= 122 for c in value)
-    return mixed == 3 and _entropy(value) >= 3.6
+def _dense(value: bytes, before: bytes) -> bool:
+    """Whether a string looks like random key material: mixed classes and high entropy.
+
+    Of fewer than three classes, it must be assigned to a name of a secret or mix its classes about as evenly as random
+    characters do, which words, paths and capitalised names do not. Sixteen symbols cannot reach the entropy that three classes are asked for.
+    """
+    classes = [1 if c <= 57 else 2 if c <= 90 else 3 for c in value if c not in b"+/=_-"]
+    if len(set(classes)) == 3:
+        return _entropy(value) >= 3.6
+    changes = sum(a != b for a, b in zip(classes, classes[1:]))
+    mixed = 5 * changes >= len(value) and (1 in classes or 3 * min(classes.count(2), classes.count(3)) >= len(value))
+    return (mixed or bool(_SECRET_NAME.search(before))) and _entropy(value) >= 3.0
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, str]]:
@@ -73,23 +83,28 @@ def linked_spans(text: bytes, base: list[tuple[int, int, str]]) -> list[tuple[in
     breaks = [m.start() for m in re.finditer(rb"\n[\x20\t\r]*\n", text)]
     named = {e for s, e, weak in ids if weak}
     secrets = [(s, e, False) for s, e, k in base if k in ("assign", "hex")]
-    secrets += [(m.start(), m.end(), True) for m in _WEAK_SECRET.finditer(text) if m.end() not in named and _dense(m[0]) and free(*m.span())]
+    secrets += [(m.start(), m.end(), True) for m in _WEAK_SECRET.finditer(text) if m.end() not in named and _dense(m[0], text[max(0, m.start() - 80) : m.start()]) and free(*m.span())]
     points = [(m.start(), m.end(), True) for m in _ENDPOINT.finditer(text) if free(*m.span())]
-    secrets.sort()
-    points.sort()
-    secret_starts, point_starts = [x[0] for x in secrets], [x[0] for x in points]
+
+    def within(parts: list[tuple[int, int, bool]]):
+        """A search for the parts that reach into a range, however long they are."""
+        by_start, by_end = sorted(parts), sorted(parts, key=lambda x: x[1])
+        starts, ends = [x[0] for x in by_start], [x[1] for x in by_end]
+        return lambda low, high: {*by_start[bisect.bisect_left(starts, low) : bisect.bisect_left(starts, high)], *by_end[bisect.bisect_right(ends, low) : bisect.bisect_right(ends, high)]}
+
+    secrets_in, points_in = within(secrets), within(points)
     out = set()
     for s, e, weak in ids:
         i = bisect.bisect_right(breaks, s)
         low = max(s - SCOPE, breaks[i - 1] if i else 0)
         high = min(e + SCOPE, breaks[i] if i < len(breaks) else len(text))
-        near = [x for x in secrets[bisect.bisect_left(secret_starts, low) : bisect.bisect_left(secret_starts, high)] if x[1] <= high and (x[1] <= s or x[0] >= e)]
+        near = [x for x in secrets_in(low, high) if x[1] <= s or x[0] >= e]
         if not near:
             continue
         if weak and free(s, e):
             out.add((s, e, "linked_id"))
         out.update((a, b, "linked_secret") for a, b, w in near if w)
-        out.update((a, b, "linked_endpoint") for a, b, _ in points[bisect.bisect_left(point_starts, low) : bisect.bisect_left(point_starts, high)] if b <= high)
+        out.update((a, b, "linked_endpoint") for a, b, _ in points_in(low, high))
     return list(out)
 
 
