@@ -154,8 +154,8 @@ _TOKEN_BITS_SQL = f"""
         UNION SELECT conv_id, turn, 15000 + CAST(greatest(0, ceil((least(greatest(CAST(tok AS DOUBLE), -1000), 1000) + 1000) / 20) - 1) AS BIGINT) FROM kinds WHERE is_number)"""
 
 
-def _turn_bits(spark, d):
-    """(conv_id, turn, pos): the whole encoding of each turn, words, marks and numbers."""
+def _turn_encoding(spark, d):
+    """(conv_id, turn, pos): the whole encoding of each turn, words, marks and numbers; and its vocabulary (word, idx)."""
     from bitloom.functions import numbers as N
 
     toks = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("tok"))
@@ -167,7 +167,11 @@ def _turn_bits(spark, d):
     word_part = blocks.select("conv_id", "turn", F.explode(T.word_bits(F.col("block"))).alias("pos"))
     marks = toks.filter(mark).select("conv_id", "turn", (F.ascii("tok") + 10000).cast("long").alias("pos"))
     numbers = toks.filter(number).select("conv_id", "turn", F.explode(N.number_bits(F.col("tok").cast("double"))).alias("pos")).distinct()
-    return word_part.union(marks).union(numbers)
+    return word_part.union(marks).union(numbers), vocabulary
+
+
+def _turn_bits(spark, d):
+    return _turn_encoding(spark, d)[0]
 
 
 @query("sdr_region_stats", f"""
@@ -328,6 +332,26 @@ def sdr_decode(spark, d):
     return found.select("conv_id", "turn", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
 
 
+@query("sdr_decode_text")
+def sdr_decode_text(spark, d):
+    """Text of each turn's positions: words by the whole vocabulary, then marks, then the middles of number buckets.
+
+    Words 1,250 apart share a block of eight positions, which decodes as the last of them. Turns without positions are
+    left out.
+    """
+    from bitloom.functions import numbers as N
+
+    bits, vocabulary = _turn_encoding(spark, d)
+    turn, pos, region = ["conv_id", "turn"], F.col("pos"), sets.region()
+    owners = vocabulary.groupBy((F.col("idx") % 1250).alias("block")).agg(F.max(F.struct("idx", "word")).alias("last"))
+    blocks = bits.filter(region == "word").groupBy(*turn, F.floor(pos / 8).alias("block")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    words = blocks.join(F.broadcast(owners), "block").select(*turn, F.lit(0).alias("kind"), F.col("last.idx").cast("long").alias("at"), F.col("last.word").alias("part"))
+    marks = bits.filter(region == "special").select(*turn, F.lit(1), pos.cast("long"), F.char(pos - sets.WORD_END))
+    numbers = bits.filter(region == "number").select(*turn, F.lit(2), pos.cast("long"), N.bucket_middle(pos - N.NUMBER_START).cast("long").cast("string"))
+    parts = words.union(marks).union(numbers).groupBy(*turn).agg(F.array_sort(F.collect_list(F.struct("kind", "at", "part"))).alias("p"))
+    return parts.select(*turn, F.array_join(F.transform("p", lambda x: x["part"]), " ").alias("text"))
+
+
 @query("sdr_file_bytes", f"""
     WITH {_TOKEN_BITS_SQL} SELECT conv_id, turn, 2500 AS bytes, count(*) AS active, CAST(sum(pos) AS BIGINT) AS pos_sum FROM bits GROUP BY conv_id, turn""")
 def sdr_file_bytes(spark, d):

@@ -202,3 +202,16 @@ def test_generation_against_a_plain_loop(spark):
         ids.append(int(s.argmax()))
     assert generate(rows, [3, 5], 4) == ids[2:]
     assert generate(rows, [99], 4) == [] and generate(rows, [3, 5], 4, end=ids[2]) == ids[2:3]
+
+
+def test_turns_decode_by_the_whole_vocabulary_with_marks_and_numbers(spark, tmp_path):
+    from bitloom.plans.registry import QUERIES
+
+    turns = [(1, t, "user", f"w{t:04d}") for t in range(1, 1000)] + [(2, t, "user", f"w{1000 + t:04d}") for t in range(1000)] + [(3, 0, "user", "w1900 (W0003)! 5, 5 2000 -")]
+    spark.createDataFrame(turns + [(4, 0, "user", " ")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn): r.text for r in QUERIES["sdr_decode_text"](spark, str(tmp_path)).collect()}
+    # Word n has number n - 1; words 1,250 apart share a block, which the later one owns.
+    for conv, turn, _, text in turns[:-1]:
+        n = int(text[1:])
+        assert got[conv, turn] == f"w{n + 1250 if n + 1250 < 2000 else n:04d}"
+    assert got[3, 0] == "w1253 w1900 ! ( ) , - 10 990" and (4, 0) not in got
