@@ -88,25 +88,34 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def keep_ids(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is kept; decisions: a materialised table (doc_id, kept) with a row per row of docs.
-
-    Documents whose rows are all dropped go. The ids to drop are broadcast where they are few, so that texts are not
-    shuffled; otherwise both sides are sorted by id. Of rows that repeat a kept doc_id one stays.
+def keep_ids(docs: DataFrame, decisions: DataFrame, key: Column | None = None) -> DataFrame:
+    """The rows of docs that are kept; decisions: a materialised table (doc_id, kept, key) with a row per row of docs.
+
+    `key` tells rows of docs that share a doc_id (or have none) apart, as the column `key` of the decisions does: each is
+    kept by its own decision, and of rows equal in both the one with the longest text stays. Without it a doc_id is kept
+    if one of its decisions is, and of rows that repeat it one stays. The ids to drop and those that repeat are broadcast
+    where they are few, so that texts are not shuffled; otherwise both sides are sorted by id. Keys are computed for
+    repeated ids alone.
     """
     by_id = decisions.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     dropped = materialise(by_id.filter("NOT kept").select(F.col("doc_id").alias("dropped_id")), "dropped-ids")
-    few = dropped.count() <= MAX_BROADCAST_IDS
+    repeated = materialise(by_id.filter("kept AND n > 1").select(F.col("doc_id").alias("repeated_id")), "repeated-ids")
 
-    def held(side: DataFrame, column: str, how: str) -> DataFrame:
-        """Rows of docs by whether their doc_id is in the table; aliases keep columns of any name in docs apart."""
-        return docs_.join(side.alias("_ids"), F.col("_docs.doc_id").eqNullSafe(F.col(f"_ids.{column}")), how)
+    def dealt(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if side.count() <= MAX_BROADCAST_IDS else side.hint("merge")
 
-    docs_ = docs.alias("_docs")
-    rest = held(F.broadcast(dropped) if few else dropped.hint("merge"), "dropped_id", "left_anti")
-    repeated = materialise(by_id.filter("kept AND n > 1").select(F.col("doc_id").alias("repeated_id")), "repeated-ids")
+    def held(rows: DataFrame, side: DataFrame, column: str, how: str) -> DataFrame:
+        """Rows by whether their doc_id is in the table; aliases keep columns of any name in docs apart."""
+        return rows.alias("_docs").join(side.alias("_ids"), F.col("_docs.doc_id").eqNullSafe(F.col(f"_ids.{column}")), how)
+
+    rest = held(docs, dealt(dropped), "dropped_id", "left_anti")
     if repeated.isEmpty():
         return rest
-    docs_ = rest.alias("_docs")
-    twice = repeated.hint("merge")
-    return held(twice, "repeated_id", "left_anti").unionByName(held(twice, "repeated_id", "left_semi").dropDuplicates(["doc_id"]))
+    twice = dealt(repeated)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = held(rest, twice, "repeated_id", "left_semi").select(row, (F.lit(0) if key is None else key).alias("key"))
+    longest = F.struct(F.length(whole_text("row.text")), F.xxhash64("row.text"))
+    folded = keyed.groupBy(F.col("row.doc_id").alias("id"), "key").agg(F.max_by("row", longest).alias("row"))
+    kept = decisions.filter("kept").select(F.col("doc_id").alias("kept_id"), (F.lit(0) if key is None else F.col("key")).alias("kept_key")).distinct()
+    chosen = folded.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("kept_id")) & F.col("key").eqNullSafe(F.col("kept_key")), "left_semi")
+    return held(rest, twice, "repeated_id", "left_anti").unionByName(chosen.select("row.*"))

@@ -13,17 +13,17 @@ Components come from alternating large-star and small-star rounds on tables in t
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; a
 text of fewer than three words is one shingle; rows that repeat a doc_id count once each for their fingerprint; rows
-with a null doc_id take part only through their fingerprint; empty tables give empty results.
+with a null doc_id link like any other and name a component only if it has no doc_id; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import materialise, per_row, text_bytes
+from bitloom.llm.common import keep_ids, materialise, per_row, text_bytes
 
 #: Words of a shingle and seed of its hash.
 SHINGLE, SEED = 3, 42
@@ -49,13 +49,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
+def _signed(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash as a signed long."""
+    value = fingerprint(bytes(text), shingle)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fingerprint (as a signed long) of each row."""
 
     def rows(source):
         for doc_id, text in source:
-            value = fingerprint(text, shingle)
-            yield doc_id, value - (1 << 64) if value >> 63 else value
+            yield doc_id, _signed(text, shingle)
 
     return per_row(docs.select("doc_id", text_bytes().alias("t")), "doc_id long, fp long", rows)
 
@@ -123,11 +128,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return at.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
+def _node() -> Column:
+    """A row's place in its component: the smallest doc_id first, no doc_id last. Fingerprints that share a doc_id stay apart."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("fp").alias("of"))
+
+
+def _named(docs: DataFrame, shingle: int, max_bucket: int) -> DataFrame:
+    """doc_id, fp and the first node of its component (`first`) of each row."""
+    each = materialise(fingerprints(docs, shingle), "fingerprints")
+    nodes = materialise(each.groupBy("fp").agg(F.min(_node()).alias("node")), "nodes")
+    roots = components(links(nodes, max_bucket))
+    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("first"))
+    return each.alias("e").join(named.alias("n").hint("merge"), "fp").select("e.doc_id", "fp", "first")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row."""
-    each = materialise(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(links(nodes.filter("node IS NOT NULL"), max_bucket))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    joined = each.alias("e").join(named.alias("n").hint("merge"), "fp")
-    return joined.select("e.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _named(docs, shingle, max_bucket).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that come first in their components; of rows equal in doc_id and fingerprint, one."""
+    decisions = _named(docs, SHINGLE, MAX_BUCKET).select("doc_id", (_node() == F.col("first")).alias("kept"), F.col("fp").alias("key"))
+    return keep_ids(docs, materialise(decisions, "classes"), F.udf(_signed, "long")(text_bytes()))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bitloom.llm import dedup, packing, secrets, simhash, toxicity
 from bitloom.llm.common import keep_ids, materialise
@@ -23,13 +24,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document that the digest index keeps."""
     decisions = dedup.exact_dedup(docs)
-    return keep_ids(docs, decisions.select("doc_id", "kept"))
+    return keep_ids(docs, decisions.select("doc_id", "kept", F.col("text_sha256").alias("key")), F.sha2(dedup.normalised(), 256))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component, the document with the smallest doc_id."""
-    classes = materialise(simhash.near_duplicates(docs), "classes")
-    return keep_ids(docs, classes.select("doc_id", classes["doc_id"].eqNullSafe(classes["component_id"]).alias("kept")))
+    return simhash.keep_first(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

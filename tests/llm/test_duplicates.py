@@ -136,3 +136,23 @@ def test_keep_ids_with_clashing_columns(spark):
     kept = common.keep_ids(docs.unionByName(docs.filter("doc_id = 1")), flags)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(n) if i % 4]
+
+
+def test_stages_keep_rows_that_share_an_id_or_have_none(spark):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    a, b, c, d = (" ".join(r.choice("abcdefghij") * 3 + str(r.randrange(999)) for _ in range(60)) for _ in range(4))
+    schema = "doc_id long, text string, key long, row long, id long"
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in [(7, a), (7, b), (3, a), (None, c), (None, c + " "), (None, d), (None, d), (9, "other words here")]], schema)
+    kept = corpus_pipeline.exact_dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(3, a), (7, b), (9, "other words here"), (None, c + " "), (None, d)]
+    order = lambda rows: sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert order((x.doc_id, x.text) for x in kept.collect()) == order(want)
+    # By fingerprint: a and b are two components although both have id 7; documents without id are told apart.
+    once = corpus_pipeline.simhash_stage(spark, docs, "")
+    assert once.columns == docs.columns and order((x.doc_id, x.text) for x in once.collect()) == order(want)
+    near = spark.createDataFrame([(7, a), (7, b), (3, a), (None, c), (None, d), (9, b), (None, b), (5, d)], "doc_id long, text string")
+    left = order((x.doc_id, x.text) for x in corpus_pipeline.simhash_stage(spark, near, "").collect())
+    assert left == order([(3, a), (7, b), (5, d), (None, c)])
