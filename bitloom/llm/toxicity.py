@@ -33,6 +33,9 @@ from bitloom.llm.common import materialise, per_row, whole_text
 THRESHOLD = 0.7
 #: Bounds of the fitting sample and of the model.
 MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 6_000, 14_000, 4_000
+#: How many times the sample's odds of being toxic a feature's documents have at least: one half at a share of 1 in 8.
+#: A ratio of odds is the same whatever share of the sample is toxic.
+MIN_ODDS = 7.0
 #: Tokens of a training segment, and segments that are used.
 SEGMENT, MAX_SEGMENTS = 24, 20_000
 
@@ -207,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     p = F.col("a") / F.col("n")
     gain = F.col("a") * F.log(p / base) + F.when(p < 1, (F.col("n") - F.col("a")) * F.log((1 - p) / (1 - base))).otherwise(0.0)
     tried = max(1, per_feature.count())
-    kept = per_feature.filter(p > max(0.5, 2 * base)).withColumn("gain", gain).filter(F.col("gain") > math.log(100.0 * tried)).orderBy(F.desc("gain"), "f").limit(max_features)
+    likely = F.col("a") * used[0] > MIN_ODDS * used[1] * (F.col("n") - F.col("a"))
+    kept = per_feature.filter(likely).withColumn("gain", gain).filter(F.col("gain") > math.log(100.0 * tried)).orderBy(F.desc("gain"), "f").limit(max_features)
     names = [r["f"] for r in kept.select("f").collect()]
     if not names:
         return empty

@@ -66,6 +66,24 @@ def test_toxicity_on_held_out_documents(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.score < 0.7}
 
 
+@pytest.mark.parametrize("clean_in_ten", [5, 3])
+def test_fitting_on_balanced_and_mostly_toxic_labels(spark, clean_in_ten):
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 10 >= clean_in_ten
+        w = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(r.randint(5, 40))]
+        if toxic or r.random() < 0.03:  # the word is in some clean documents as well
+            w.insert(r.randrange(len(w)), "blarg")
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = [x for x in toxicity.scores(docs, field).collect() if x.held_out]
+    assert "=blarg" in field.weights
+    assert sum(x.predicted == (x.doc_id % 10 >= clean_in_ten) for x in out) / len(out) > 0.9
+
+
 def test_training_reads_no_held_out_label(spark):
     docs, labels = labelled(spark, 240)
     flipped = labels.withColumn("toxic", labels.toxic.cast("int"))
