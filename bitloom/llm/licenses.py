@@ -218,13 +218,20 @@ class LicenseScanner:
                 best.append(cover)
                 source.append(came)
             used: set[int] = set()
+            covered: set[int] = set()
             for i in sorted(range(len(found)), key=lambda i: -best[i]):
-                k, first = i, i
+                k, walked = i, []
                 while k != -1 and k not in used:
                     used.add(k)
-                    first, k = k, source[k]
-                if k == -1 and i in used:
-                    out.append((name, found[first][0], found[i][1], best[i]))
+                    walked.append(k)
+                    k = source[k]
+                words = {w for m in walked for w in range(found[m][0], found[m][1])}
+                fresh = words - covered
+                if walked and k == -1:
+                    out.append((name, found[walked[-1]][0], found[i][1], best[i]))
+                elif fresh:  # the head belongs to a better chain: the tail is a span of its own, as far as it is not covered
+                    out.append((name, min(fresh), max(fresh) + 1, len(fresh)))
+                covered |= words
         return sorted(out)
 
     def scan(self, text: bytes) -> dict:

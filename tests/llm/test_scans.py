@@ -61,6 +61,13 @@ def test_templates_are_found_with_gaps_and_clean_text_is_not():
     assert scanner.scan(b"to the use of this and in the file with a copy " * 50)["labels"] == ""
 
 
+def test_clauses_in_swapped_order_are_all_found():
+    w = ["".join(chr(97 + int(c)) for c in f"{i:03d}") for i in range(100, 160)]
+    scanner = licenses.LicenseScanner([("X", " ".join(w))], {})
+    found = scanner.scan(" ".join(w[:16] + w[32:48] + w[16:32]).encode())
+    assert found["spans"] == [("X", 0, 32, 32), ("X", 32, 48, 16)]
+
+
 SECRET_PATTERNS = {
     "assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A),
     "access": re.compile("AKIA[A-Z0-9]+"),
