@@ -39,7 +39,7 @@ BASE = {
 EXTRA = {
     "national_id": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
     "account": (r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", ""),
-    "name": (r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,20}+(?: [A-Z][a-z]{1,20}+)?", "r"),
+    "name": (r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,20}+(?: [A-Z][a-z]{1,20}+)?", ""),
     "spelled_email": (r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{2,64}+ ?[\[(]dot[\])] ?[a-z]{2,10}+", "at"),
 }
 KINDS = (*BASE, *EXTRA)

@@ -204,6 +204,12 @@ def test_pii_labelers_add_spans(spark):
     assert "name:9:23" in got[0] and "300" not in got[40] and "ip" not in got[40] and got[41] == ""
 
 
+def test_names_after_every_title_are_searched(spark):
+    values = [f"{t} Jane Smith said hi to Tom" for t in ("Ms", "Mr", "Mrs", "Dr", "Prof")] * 8
+    got = {x.doc_id: x.spans for x in pii.pii_spans(edge.docs(spark, values)).collect()}
+    assert all(s == f"name:0:{len(v.split()[0]) + 11}" for s, v in zip((got[i] for i in range(40)), values)), got
+
+
 def test_em_separates_labelers():
     r = random.Random(1)
     counts = {}
