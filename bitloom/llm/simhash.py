@@ -3,7 +3,9 @@
 Fingerprints of 64 bits link at two or fewer differing bits. Cut into two segments of 32 bits, one segment of a linked
 pair differs by at most one bit, so the pair shares a variant of that segment with one bit masked out. Each distinct
 fingerprint is indexed under its 2 x 32 variants; an equality join finds candidates and the join condition verifies
-them. A pair that shares several variants is reported under one canonical variant only.
+them. A pair that shares several variants is reported under one canonical variant only. Nearly all variants belong to
+one fingerprint alone: variants are counted first, which shuffles eight bytes of each, and only those that two or more
+share are joined.
 
 Buckets with more than `max_bucket` fingerprints are not joined: their members are indexed under all 2,016 two-bit
 masks of the whole fingerprint instead. At most four fingerprints share such a key and all of them link, so nothing is
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import keep_ids, materialise, per_row, text_bytes
+from bitloom.llm.common import MAX_BROADCAST_IDS, keep_ids, materialise, per_row, text_bytes
 
 #: Words of a shingle and seed of its hash.
 SHINGLE, SEED = 3, 42
@@ -72,15 +74,23 @@ def _variants(nodes: DataFrame) -> DataFrame:
     return numbered.select("node", "fp", "v", segment.alias("seg")).select("node", "fp", F.expr("shiftleft(seg & ~shiftleft(1L, v % 32), 6) | v").alias("key"))
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """The variants that two or more fingerprints share: key, node, fp and how many share it (n)."""
+    keyed = _variants(nodes)
+    twice = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-variants")
+    # Two numbers a key: broadcast where the count allows, else one more shuffle of the variants.
+    small = twice.count() <= MAX_BROADCAST_IDS
+    return materialise(keyed.join(F.broadcast(twice) if small else twice.hint("merge"), "key"), "shared")
+
+
 def links(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """All pairs (u, v) of nodes whose distinct fingerprints differ by one or two bits, or a chain of such pairs.
 
     nodes: a materialised table (node, fp) with distinct fp.
     """
-    keyed = _variants(nodes)
-    large = materialise(keyed.groupBy("key").count().filter(F.col("count") > max_bucket).select("key"), "large-buckets")
+    shared = _shared(nodes)
+    small, large = shared.filter(F.col("n") <= max_bucket), shared.filter(F.col("n") > max_bucket)
     crowded = not large.isEmpty()
-    small = keyed.join(large, "key", "left_anti") if crowded else keyed
     a = small.select(F.col("key").alias("ka"), F.col("node").alias("u"), F.col("fp").alias("fa"))
     b = small.select(F.col("key").alias("kb"), F.col("node").alias("v"), F.col("fp").alias("fb"))
     low, high = "((fa ^ fb) & 4294967295L)", "shiftrightunsigned(fa ^ fb, 32)"
@@ -92,7 +102,7 @@ def links(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     if not crowded:
         return found
     # Pairs with one end in a large bucket still meet in a small one, or both ends are in the large one and meet here.
-    members = keyed.join(large, "key", "left_semi").select("node", "fp").distinct()
+    members = large.select("node", "fp").distinct()
     masks = F.expr("flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> struct(i * 64 + j AS m, shiftleft(1L, i) | shiftleft(1L, j) AS bits))))")
     starred = members.select("node", "fp", F.explode(masks).alias("mask")).select("node", F.expr("mask.m").alias("m"), F.expr("fp & ~mask.bits").alias("key"))
     stars = starred.groupBy("m", "key").agg(F.collect_list("node").alias("all")).filter(F.size("all") > 1)
@@ -150,4 +160,4 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bucket: int = M
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that come first in their components; of rows equal in doc_id and fingerprint, one."""
     decisions = _named(docs, SHINGLE, MAX_BUCKET).select("doc_id", (_node() == F.col("first")).alias("kept"), F.col("fp").alias("key"))
-    return keep_ids(docs, materialise(decisions, "classes"), F.udf(_signed, "long")(text_bytes()))
+    return keep_ids(docs, materialise(decisions, "classes"), F.udf(_signed, "long", useArrow=True)(text_bytes()))
