@@ -28,21 +28,55 @@ def test_exact_dedup(spark):
     assert len(odd) == 5 and {r.keep_id for r in odd if r.text_sha256 == hashlib.sha256(b"sametext").hexdigest()} == {7}
 
 
-def test_index_keeps_earlier_batches_and_may_be_fed_again(spark):
-    index = dedup.DigestIndex(spark, "bitloom_test_index", 4)
-    try:
-        first = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
-        second = spark.createDataFrame([(3, "a  b "), (4, "d"), (5, "d")], "doc_id long, text string")
-        once = sorted(map(tuple, index.ingest(first).collect()))
-        assert [r[:4] for r in once] == [(1, 1, 1, True), (2, 2, 1, True)]
-        want = [(3, 1, 1, False), (4, 4, 2, True), (5, 4, 2, False)]
-        assert [r[:4] for r in sorted(map(tuple, index.ingest(second).collect()))] == want
-        assert [r[:4] for r in sorted(map(tuple, index.ingest(second).collect()))] == want
-        assert spark.table("bitloom_test_index").count() == 3
-        plan = index.spark.table("bitloom_test_index")
-        assert sorted(map(tuple, index.ingest(first).collect())) == once and plan is not None
-    finally:
-        index.drop()
+def test_index_keeps_earlier_batches_and_may_be_fed_again(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = dedup.DigestIndex(spark, path, 4)
+    first = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    second = spark.createDataFrame([(3, "a  b "), (4, "d"), (5, "d")], "doc_id long, text string")
+    once = sorted(map(tuple, index.ingest(first).collect()))
+    assert [r[:4] for r in once] == [(1, 1, 1, True), (2, 2, 1, True)]
+    want = [(3, 1, 1, False), (4, 4, 2, True), (5, 4, 2, False)]
+    assert [r[:4] for r in sorted(map(tuple, index.ingest(second).collect()))] == want
+    again = dedup.DigestIndex(spark, path)  # as another session would open it
+    assert [r[:4] for r in sorted(map(tuple, again.ingest(second).collect()))] == want
+    assert again.table().count() == 3 and again.version() == (1, 4)
+    assert sorted(map(tuple, index.ingest(first).collect())) == once
+    index.drop()
+    assert index.version() is None
+
+
+def test_batches_and_compaction_against_one_pass(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedup, "MAX_FILES", 2)
+    r = random.Random(5)
+    rows = [(i, r.choice("abcdefgh") * r.randint(1, 9)) for i in range(240)]
+    index = dedup.DigestIndex(spark, f"file://{tmp_path}/index", 3)
+    seen, versions = {}, []
+    for k in range(4):
+        batch = rows[60 * k : 60 * (k + 1)]
+        got = {x.doc_id: x for x in index.ingest(spark.createDataFrame(batch, "doc_id long, text string")).collect()}
+        for i, t in batch:
+            seen.setdefault(t, min(j for j, u in batch if u == t))
+        for i, t in batch:
+            assert (got[i].keep_id, got[i].kept, got[i].group_size) == (seen[t], seen[t] == i, sum(u == t for _, u in batch))
+        versions.append((index.version(), index.files()))
+    assert versions[-1][0][0] > 1 and all(n <= 2 * v[1] for v, n in versions)
+    held = {bytes(x.digest): x.keep_id for x in index.table().collect()}
+    assert held == {hashlib.sha256(t.encode()).digest(): i for t, i in seen.items()}
+    index.close()
+    # Digests are in order within each file of a compacted version.
+    for part in (tmp_path / "index").glob("v*/*.parquet"):
+        found = [bytes(x.digest) for x in spark.read.parquet(f"file://{part}").collect()]
+        assert found == sorted(found)
+
+
+def test_joins_are_as_wide_as_the_session(spark):
+    values = [(i, str(i % 50)) for i in range(400)]
+    index = dedup.DigestIndex(spark, f"{common.shared_dir(spark)}/bitloom/test-index")
+    decided = index.ingest(spark.createDataFrame(values, "doc_id long, text string"))
+    assert index.version() == (1, 4)
+    plan = decided._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(digest" in plan and ", 16)" not in plan and "SortMergeJoin" in plan
+    index.drop()
 
 
 def fingerprint(t):
