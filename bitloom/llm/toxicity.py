@@ -1,10 +1,12 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-Fitting uses a bounded, hash-ordered sample of labelled training rows (`max_toxic` and `max_clean`, counted per label).
+Fitting uses a bounded, hash-ordered sample of labelled training rows (`max_toxic` and `max_clean`, counted per label),
+and of that sample every feature that passes the test and every segment.
 Tokens get labels from their documents: a token is toxic if its document is labelled toxic and the token carries a
 feature (the word, or its first 4 or 5 letters) whose document counts are toxic beyond chance, tested against the
 number of features tried. The field has two states, weights for these features, a bias and four transition weights, and
-is fitted by gradient ascent on the likelihood of segments of SEGMENT tokens that hold a feature.
+is fitted to segments of SEGMENT tokens that hold a feature. The penalised likelihood is concave; limited-memory
+quasi-Newton steps climb it, and tasks sum likelihood and gradient over the segments, of which equal ones are counted.
 
 Scoring runs forward-backward over a whole text. Between tokens that carry a feature the potentials are constant, so
 a gap of any length is one step with a closed-form power of the 2x2 transfer matrix. The marginals of the feature
@@ -13,16 +15,20 @@ logistic calibration turns into the score. Neither labels, lang, source nor doc_
 
 Defined results: a null or empty text scores the calibration's intercept; without labelled rows of both kinds every
 score is 0; a label row that is null is ignored, and of repeated label rows the largest counts; a null doc_id is never
-held out and never used for fitting.
+held out and never used for fitting; of documents that share a labelled doc_id the longest text is fitted once, and each
+is scored by its own text; an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +37,15 @@ from bitloom.llm.common import materialise, per_row, whole_text
 
 #: Documents above this score are rejected.
 THRESHOLD = 0.7
-#: Bounds of the fitting sample and of the model.
-MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 6_000, 14_000, 4_000
+#: Bounds of the fitting sample, in labelled rows.
+MAX_TOXIC, MAX_CLEAN = 6_000, 14_000
 #: How many times the sample's odds of being toxic a feature's documents have at least: one half at a share of 1 in 8.
 #: A ratio of odds is the same whatever share of the sample is toxic.
 MIN_ODDS = 7.0
-#: Tokens of a training segment, and segments that are used.
-SEGMENT, MAX_SEGMENTS = 24, 20_000
+#: Tokens of a training segment.
+SEGMENT = 24
+#: Penalty of the field's squared weights, halved.
+PENALTY = 1.0
 
 #: Words whose features a worker remembers.
 MEMORY_WORDS = 60_000
@@ -70,6 +78,8 @@ class Field:
         self.stay = np.outer(left[:, 0], right[0]).tolist()
         self.fade = np.outer(left[:, 1], right[1]).tolist()
         self.t = t.tolist()
+        #: Names the weights: equal weights, equal key, in every process.
+        self.key = hashlib.sha256(repr(sorted(weights.items())).encode()).hexdigest()
 
     def gap(self, n: int) -> list[list[float]]:
         """The transfer over n tokens without features, up to a factor."""
@@ -137,13 +147,13 @@ _MEMORY: dict[str, WordCache] = {}
 class Scorer:
     """Applies a field to texts; remembers words within a worker."""
 
-    def __init__(self, field: Field, key: str):
+    def __init__(self, field: Field):
         self.field = field
         weights = field.weights
-        if key not in _MEMORY:
+        if field.key not in _MEMORY:
             _MEMORY.clear()
-            _MEMORY[key] = WordCache(lambda w: tuple(weights[f] for f in features(w) if f in weights), MEMORY_WORDS)
-        self.words = _MEMORY[key]
+            _MEMORY[field.key] = WordCache(lambda w: tuple(weights[f] for f in features(w) if f in weights), MEMORY_WORDS)
+        self.words = _MEMORY[field.key]
 
     def read(self, text: str) -> tuple[str, list[int], list[float]]:
         """The lower-cased text, places of feature tokens, and their marginals."""
@@ -181,15 +191,17 @@ def _sample(labels: DataFrame, max_toxic: int, max_clean: int) -> tuple[DataFram
     return materialise(parts[0].union(parts[1]), "fit-sample"), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_features: int = MAX_FEATURES) -> Field:
-    """Fits the field and its calibration to the labelled training rows of `docs`."""
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field:
+    """Fits the field and its calibration to at most max_toxic and max_clean labelled training rows of `docs`."""
     sample, counts = _sample(labels.select("doc_id", "toxic"), max_toxic, max_clean)
     empty = Field({}, -3.0, np.zeros((2, 2)), [])
     if not counts.get(0) or not counts.get(1):
         return empty
     # At most max_toxic + max_clean rows of two numbers: a bounded broadcast, so that no text is shuffled.
-    texts = docs.select("doc_id", whole_text().alias("t")).join(F.broadcast(sample), "doc_id").select("toxic", "t")
-    texts = materialise(texts, "fit-texts")
+    texts = docs.select("doc_id", whole_text().alias("t")).join(F.broadcast(sample), "doc_id")
+    # One row for each sampled id however often it repeats; a hot one is one row of each task before the shuffle.
+    texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max_by("t", F.struct(F.length("t"), F.xxhash64("t"))).alias("t"))
+    texts = materialise(texts.select("toxic", "t"), "fit-texts")
 
     def count(source):
         held: Counter = Counter()
@@ -211,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     gain = F.col("a") * F.log(p / base) + F.when(p < 1, (F.col("n") - F.col("a")) * F.log((1 - p) / (1 - base))).otherwise(0.0)
     tried = max(1, per_feature.count())
     likely = F.col("a") * used[0] > MIN_ODDS * used[1] * (F.col("n") - F.col("a"))
-    kept = per_feature.filter(likely).withColumn("gain", gain).filter(F.col("gain") > math.log(100.0 * tried)).orderBy(F.desc("gain"), "f").limit(max_features)
+    kept = per_feature.filter(likely).withColumn("gain", gain).filter(F.col("gain") > math.log(100.0 * tried)).orderBy(F.desc("gain"), "f")
+    # No more than the words of the sample: features that are toxic beyond chance.
     names = [r["f"] for r in kept.select("f").collect()]
     if not names:
         return empty
@@ -227,70 +240,117 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
                     yield toxic, len(part), [i for i, x in enumerate(part) for _ in x], [f for x in part for f in x]
 
     cut = per_row(texts, "toxic int, n int, places array<int>, feature array<int>", segments)
-    cut = cut.orderBy(F.xxhash64("n", "places", "feature"), "toxic").limit(MAX_SEGMENTS).collect()
-    weights, bias, transitions = _ascend(cut, len(names))
-    field = Field(dict(zip(names, weights)), bias, transitions, [])
+    cut = materialise(cut.groupBy("toxic", "n", "places", "feature").agg(F.count(F.lit(1)).alias("times")), "fit-segments")
+    theta = np.zeros(len(names) + 5)
+    theta[len(names)] = -2.0
+    theta = climb(lambda at: likelihood(cut, at, len(names)), theta)
+    field = Field(dict(zip(names, theta[: len(names)].tolist())), float(theta[len(names)]), theta[len(names) + 1 :].reshape(2, 2), [])
 
     def measure(source):
-        _MEMORY.clear()
-        scorer = Scorer(field, f"fit-{id(field)}")
+        scorer = Scorer(field)
         for toxic, text in source:
             _, _, m = scorer.read(text)
             yield (toxic, *evidence(m))
 
-    rows = per_row(texts, "toxic int, a double, b double, c double", measure).collect()
-    scale = {y: counts[y] / used[y] for y in (0, 1)}
-    field.calibration = _logistic(np.array([r[1:] for r in rows], dtype=float), np.array([r[0] for r in rows], dtype=float), np.array([scale[r[0]] for r in rows]))
+    # A row for each row of the sample: max_toxic + max_clean at most.
+    rows = per_row(texts, "toxic int, a double, b double, c double", measure).toArrow()
+    y, x = rows.column(0).to_numpy().astype(float), np.column_stack([rows.column(i).to_numpy() for i in (1, 2, 3)])
+    field.calibration = _logistic(x, y, np.where(y > 0, counts[1] / used[1], counts[0] / used[0]))
     return field
 
 
-def _ascend(cut: list, n_features: int, rounds: int = 150) -> tuple[list[float], float, np.ndarray]:
-    """Gradient ascent (Adam) on the penalised likelihood of labelled segments."""
-    s = len(cut)
-    seg = np.concatenate([np.full(len(r["places"]), i) for i, r in enumerate(cut)])
-    place = np.concatenate([np.array(r["places"], dtype=int) for r in cut])
-    feat = np.concatenate([np.array(r["feature"], dtype=int) for r in cut])
-    n = np.array([r["n"] for r in cut])
+def segment_sums(theta: np.ndarray, toxic: np.ndarray, n: np.ndarray, times: np.ndarray, seg: np.ndarray, place: np.ndarray, feat: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of labelled segments and its gradient; segment i counts times[i].
+
+    Entry j says that segment seg[j] has feature feat[j] at its token place[j]; those tokens are toxic in toxic segments.
+    """
+    s, k = len(n), len(theta) - 5
+    w, b, t = theta[:k], theta[k], theta[k + 1 :].reshape(2, 2)
     inside = np.arange(SEGMENT)[None, :] < n[:, None]
     gold = np.zeros((s, SEGMENT), dtype=int)
-    gold[seg, place] = np.array([r["toxic"] for r in cut])[seg]
-    pairs = np.zeros((2, 2))
+    gold[seg, place] = toxic[seg]
+    x = np.bincount(seg * SEGMENT + place, weights=w[feat], minlength=s * SEGMENT).reshape(s, SEGMENT) + b
+    e = np.ones((SEGMENT, s, 2))
+    e[:, :, 1] = np.exp(np.clip(x, -30, 30)).T
+    move = np.exp(t)
+    alpha, beta = np.empty((SEGMENT, s, 2)), np.ones((SEGMENT, s, 2))
+    log_z = np.zeros(s)
+    for i in range(SEGMENT):
+        a = e[0] if i == 0 else (alpha[i - 1] @ move) * e[i]
+        size = a.sum(1, keepdims=True)
+        alpha[i] = a / size
+        log_z += np.where(inside[:, i], np.log(size[:, 0]), 0.0)
+    for i in range(SEGMENT - 2, -1, -1):
+        following = (e[i + 1] * beta[i + 1]) @ move.T
+        following /= following.sum(1, keepdims=True)
+        beta[i] = np.where(inside[:, i + 1][:, None], following, 1.0)
+    p = alpha * beta
+    p1 = (p[:, :, 1] / p.sum(2)).T * inside
     both = inside[:, 1:]
-    np.add.at(pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
-    gold_feature = np.bincount(feat, weights=gold[seg, place], minlength=n_features)
-    theta = np.zeros(n_features + 5)
-    theta[n_features] = -2.0
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for k in range(1, rounds + 1):
-        w, b, t = theta[:n_features], theta[n_features], theta[n_features + 1 :].reshape(2, 2)
-        x = np.full((s, SEGMENT), b)
-        np.add.at(x, (seg, place), w[feat])
-        e = np.ones((SEGMENT, s, 2))
-        e[:, :, 1] = np.exp(np.clip(x, -30, 30)).T
-        move = np.exp(t)
-        alpha, beta = np.empty((SEGMENT, s, 2)), np.ones((SEGMENT, s, 2))
-        alpha[0] = e[0] / e[0].sum(1, keepdims=True)
-        for i in range(1, SEGMENT):
-            a = (alpha[i - 1] @ move) * e[i]
-            alpha[i] = a / a.sum(1, keepdims=True)
-        for i in range(SEGMENT - 2, -1, -1):
-            nxt = (e[i + 1] * beta[i + 1]) @ move.T
-            nxt /= nxt.sum(1, keepdims=True)
-            beta[i] = np.where(inside[:, i + 1][:, None], nxt, 1.0)
-        p = alpha * beta
-        p1 = (p[:, :, 1] / p.sum(2)).T * inside
-        expected = np.zeros((2, 2))
-        for i in range(1, SEGMENT):
-            joint = alpha[i - 1][:, :, None] * move[None] * (e[i] * beta[i])[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            expected += joint[inside[:, i]].sum(0)
-        grad = np.empty_like(theta)
-        grad[:n_features] = gold_feature - np.bincount(feat, weights=p1[seg, place], minlength=n_features) - 0.1 * w
-        grad[n_features] = gold[inside].sum() - p1.sum() - 0.1 * b
-        grad[n_features + 1 :] = (pairs - expected - 0.1 * t).ravel()
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta + 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return theta[:n_features].tolist(), float(theta[n_features]), theta[n_features + 1 :].reshape(2, 2)
+    pairs, expected = np.zeros((2, 2)), np.zeros((2, 2))
+    weight = np.repeat(times[:, None], SEGMENT - 1, axis=1)[both]
+    np.add.at(pairs, (gold[:, :-1][both], gold[:, 1:][both]), weight)
+    for i in range(1, SEGMENT):
+        joint = alpha[i - 1][:, :, None] * move[None] * (e[i] * beta[i])[:, None, :]
+        joint *= (times / joint.sum((1, 2)))[:, None, None]
+        expected += joint[inside[:, i]].sum(0)
+    value = float(((gold * inside * x).sum(1) - log_z) @ times + (pairs * t).sum())
+    grad = np.empty_like(theta)
+    grad[:k] = np.bincount(feat, weights=(gold[seg, place] - p1[seg, place]) * times[seg], minlength=k)
+    grad[k] = (gold * inside - p1).sum(1) @ times
+    grad[k + 1 :] = (pairs - expected).ravel()
+    return value, grad
+
+
+def likelihood(cut: DataFrame, theta: np.ndarray, n_features: int) -> tuple[float, np.ndarray]:
+    """Penalised log-likelihood and gradient over a table of counted segments; each task sums its own and gives one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, grad = 0.0, np.zeros(n_features + 5)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = pa.record_batch([pa.concat_arrays([c]) for c in batch.slice(at, 4096).columns], names=batch.schema.names)
+                toxic, n, places, feature, times = part.columns
+                seg = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy())
+                flat = [c.flatten().to_numpy(zero_copy_only=False) for c in (places, feature)]
+                v, g = segment_sums(theta, toxic.to_numpy(), n.to_numpy(), times.to_numpy().astype(float), seg, *flat)
+                value, grad = value + v, grad + g
+        yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([grad.tolist()])], names=["value", "grad"])
+
+    found = cut.select("toxic", "n", "places", "feature", "times").mapInArrow(run, "value double, grad array<double>").collect()
+    value = math.fsum(r["value"] for r in found) - PENALTY / 2 * float(theta @ theta)
+    return value, np.sum([np.zeros(n_features + 5), *(r["grad"] for r in found)], axis=0) - PENALTY * theta
+
+
+def climb(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, steps: int = 60, memory: int = 8, tolerance: float = 1e-4) -> np.ndarray:
+    """The top of a concave function that gives (value, gradient): limited-memory quasi-Newton steps, halved until they climb."""
+    value, grad = objective(theta)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, used = grad.copy(), []
+        for ds, dg in reversed(held):
+            a = (ds @ d) / (ds @ dg)
+            d -= a * dg
+            used.append(a)
+        d = d * ((held[-1][0] @ held[-1][1]) / (held[-1][1] @ held[-1][1])) if held else d / max(1.0, float(np.linalg.norm(d)))
+        for (ds, dg), a in zip(held, reversed(used)):
+            d += ds * (a - (dg @ d) / (ds @ dg))
+        length, slope = 1.0, float(d @ grad)
+        while length > 1e-6:
+            after, turned = objective(theta + length * d)
+            if after >= value + 1e-4 * length * slope:
+                break
+            length /= 2
+        else:
+            break
+        moved, change = length * d, grad - turned
+        if moved @ change > 1e-12:
+            held = [*held[1 - memory :], (moved, change)]
+        done = after - value <= tolerance * max(1.0, abs(value))
+        theta, value, grad = theta + moved, after, turned
+        if done:
+            break
+    return theta
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2) -> list[float]:
@@ -312,10 +372,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 
 def scores(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, held_out, score, predicted, and the offending spans (start:end in code points, comma-joined)."""
-    key = f"score-{id(field)}-{len(field.weights)}"
 
     def rows(source):
-        scorer = Scorer(field, key)
+        scorer = Scorer(field)
         for doc_id, out, text in source:
             low, places, marginals = scorer.read(text)
             score = field.score(evidence(marginals))
@@ -327,11 +386,10 @@ def scores(docs: DataFrame, field: Field) -> DataFrame:
 
 def keep_clean(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that score below the threshold."""
-    key = f"keep-{id(field)}-{len(field.weights)}"
     text_at = docs.columns.index("text")
 
     def rows(source):
-        scorer = Scorer(field, key)
+        scorer = Scorer(field)
         for row in source:
             if field.score(evidence(scorer.read(row[text_at] or "")[2])) < threshold:
                 yield row
