@@ -5,13 +5,14 @@ piece of length s goes where the sum over all residual gaps g of (number of open
 smallest: moving a sequence from gap g to g - s changes that sum by 2(N[g-s] - N[g]) + 2 (1 - 2N[g] for an exact fit),
 a new sequence by 2N[cap-s] + 1. Ties go to the smallest gap, and an open sequence is preferred to a new one.
 
-Pieces are dealt by hash into blocks whose number follows the number of pieces, and each block is packed on its own in
-order of falling length; only the counts and the open sequences of a block are in memory. A block wastes a few open
-sequences, of some tens of thousands of pieces. The order within a block is total, so a task that is run again gives
-the same sequences.
-
-Defined results: a null or empty text is the separator alone; equal rows are packed once each; an empty table gives an
-empty result.
+Pieces are numbered when they are written and dealt into blocks by that number, whose hash spreads equal rows as well
+as others; the number of blocks follows the number of pieces. Each block is packed on its own in order of falling
+length; only the counts and the open sequences of a block are in memory. A block wastes a few open sequences, of some
+tens of thousands of pieces. A task packs one or more whole blocks, and a sequence's id holds its block, whatever task
+or partition that is in. The order within a block is total, so a task that is run again gives the same sequences.
+
+Defined results: a null or empty text is the separator alone; equal rows are packed once each; rows with a null doc_id
+are packed like any other; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from bitloom.llm.common import materialise, per_row, whole_text
 
 #: Tokens of a sequence.
 CAPACITY = 2048
-#: Pieces of one block, about.
-BLOCK_PIECES = 40_000
+#: Pieces of one block, about, and tasks that the blocks are dealt to at most.
+BLOCK_PIECES, MAX_TASKS = 40_000, 8_192
 
 
 class SumOfSquares:
@@ -93,24 +94,26 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     return per_row(docs.select("doc_id", whole_text().alias("t")), "doc_id long, piece int, start long, length long, ids_crc32 long", rows, 64)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to a (small, materialised) table of pieces."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, max_tasks: int = MAX_TASKS) -> DataFrame:
+    """Adds sequence_id and offset to a (small, materialised) table of numbered pieces."""
     blocks = max(1, -(-cut.count() // block_pieces))
+    tasks = min(blocks, max_tasks)
 
     def rows(source):
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 36
-        packer = SumOfSquares(capacity)
-        for doc_id, piece, start, length, crc in source:
+        packer, at = None, None
+        for block, doc_id, piece, start, length, crc in source:
+            if block != at:
+                packer, at = SumOfSquares(capacity), block
             seq, offset = packer.place(length)
-            yield doc_id, piece, start, length, crc, base + seq, offset
+            yield doc_id, piece, start, length, crc, (block << 36) + seq, offset
 
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    dealt = cut.select(columns).repartition(blocks, "doc_id", "piece", "ids_crc32").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return per_row(dealt, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", rows)
+    columns = ["block", "doc_id", "piece", "start", "length", "ids_crc32"]
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks))).repartitionById(tasks, F.expr(f"CAST(block % {tasks} AS INT)"))
+    ordered = dealt.sortWithinPartitions("block", F.desc("length"), "doc_id", "piece", "ids_crc32", "number")
+    return per_row(ordered.select(columns), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", rows)
 
 
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Encodes, cuts and packs all documents; one row per piece."""
-    return pack(materialise(pieces(docs, capacity, path), "pieces"), capacity, block_pieces)
+    numbered = pieces(docs, capacity, path).withColumn("number", F.monotonically_increasing_id())
+    return pack(materialise(numbered, "pieces"), capacity, block_pieces)

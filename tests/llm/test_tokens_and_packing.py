@@ -1,13 +1,15 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import edge
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from bitloom.llm import bpe, packing
+from bitloom.llm import bpe, common, packing
 
 
 @settings(max_examples=300, deadline=None)
@@ -107,3 +109,22 @@ def test_packing(spark):
     assert packing.best_fit_packing(edge.odd_docs(spark)).count() == 5
     many = packing.best_fit_packing(edge.docs(spark), block_pieces=10).collect()
     check_packing(many, values)
+
+
+def test_sequences_of_many_blocks_stay_apart_in_one_partition(spark):
+    values = edge.texts(n=120)
+    docs = edge.docs(spark, values).repartition(5, "doc_id")
+    cut = common.materialise(packing.pieces(docs).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    for tasks in (2, packing.MAX_TASKS):
+        packed = packing.pack(cut, block_pieces=10, max_tasks=tasks)
+        assert packed.rdd.getNumPartitions() == min(tasks, -(-cut.count() // 10))
+        rows = common.materialise(packed.coalesce(1), "packed").collect()
+        assert check_packing(rows, values) > 1
+        assert {r.sequence_id >> 36 for r in rows} == set(range(-(-cut.count() // 10)))
+
+
+def test_equal_rows_are_dealt_over_the_blocks(spark):
+    docs = spark.range(400).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one text that all rows share' AS text")
+    rows = packing.best_fit_packing(docs, block_pieces=40).collect()
+    sizes = Counter(r.sequence_id >> 36 for r in rows)
+    assert len(rows) == 400 and len(sizes) == 10 and max(sizes.values()) < 80
