@@ -8,13 +8,15 @@ a blank line, and a sweep over the sorted intervals joins the parts that reach i
 secret or endpoint is reported only when the scope holds complementary parts: an identifier and a secret at least.
 
 Defined results: a null or empty text has no findings; texts of any length are scanned whole and in time linear in
-their length and findings; repeated rows give repeated results; other columns are not read.
+their length and findings, and parts of any length are linked; a weak part that overlaps a base finding is not reported
+beside it; repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -26,7 +28,7 @@ from bitloom.llm.common import per_row, text_bytes, whole_text
 
 #: Reported kinds, in the order that breaks ties: three base kinds, then the linked ones.
 KINDS = ("assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint")
-#: Bytes to either side of an identifier in which complementary parts count.
+#: Code points to either side of an identifier in which complementary parts count.
 SCOPE = 400
 
 _ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -34,11 +36,13 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
 _WORDS = re.compile(rb"(?i)password|passwd|secret|token|api_?key")
 #: Weak shapes: identifiers named as such or cut short, and service endpoints.
-_WEAK_ID = re.compile(rb"(?i:\b(?:access[_-]?(?:key[_-]?)?id|client[_-]?id|account[_-]?id|app[_-]?id)\b[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9_.-]{6,64})|\b(A[KS]IA[A-Z0-9]{8,13})\b")
+_WEAK_ID = re.compile(rb"(?i:\b(?:access[_-]?(?:key[_-]?)?id|client[_-]?id|account[_-]?id|app[_-]?id)\b[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9_.-]{6,})|\b(A[KS]IA[A-Z0-9]{8,13})\b")
 _WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/=_-])")
 #: What stands before a value that is assigned to a name of a secret.
 _SECRET_NAME = re.compile(rb"(?i:secret|token|passw|key|credential|signature)[A-Za-z0-9_.-]*[\"']?\x20*[:=]\x20*[\"']?\Z")
-_ENDPOINT = re.compile(rb"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~/-]*)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+){0,4}\.amazonaws\.com\b")
+_ENDPOINT = re.compile(rb"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~/-]*)?")
+_SERVICE = re.compile(rb"\.amazonaws\.com\b")
+_HOST = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789.-")
 
 
 def _entropy(value: bytes) -> float:
@@ -60,6 +64,23 @@ def _dense(value: bytes, before: bytes) -> bool:
     return (mixed or bool(_SECRET_NAME.search(before))) and _entropy(value) >= 3.0
 
 
+def endpoints(text: bytes) -> list[tuple[int, int]]:
+    """Ranges of service addresses: URLs, and host names of a known service, which are read backwards from their end."""
+    urls = [m.span() for m in _ENDPOINT.finditer(text)]
+    out, last = list(urls), 0
+    for m in _SERVICE.finditer(text):
+        at = m.start()
+        while at > last and text[at - 1] in _HOST:
+            at -= 1
+        while at < m.start() and text[at] in b".-":
+            at += 1
+        i = bisect.bisect_right(urls, (at, len(text))) - 1
+        if at < m.start() and (i < 0 or urls[i][1] <= at):
+            out.append((at, m.end()))
+        last = m.end()
+    return out
+
+
 def base_spans(text: bytes) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base findings in bytes, unsorted."""
     out = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 12] if _WORDS.search(text) else []
@@ -68,6 +89,16 @@ def base_spans(text: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
+def _reach(text: bytes, s: int, e: int) -> tuple[int, int]:
+    """Byte places SCOPE code points before s and after e, or the text's ends."""
+    before, after = text[max(0, s - 4 * SCOPE) : s], text[e : e + 4 * SCOPE]
+    if before.isascii() and after.isascii():
+        return max(0, s - SCOPE), min(len(text), e + SCOPE)
+    starts = [i for i, b in enumerate(before) if b & 0xC0 != 0x80]
+    ends = [i for i, b in enumerate(after) if b & 0xC0 != 0x80]
+    return s - len(before) + starts[-SCOPE] if len(starts) >= SCOPE else max(0, s - 4 * SCOPE), e + (ends[SCOPE] if len(ends) > SCOPE else len(after))
+
+
 def linked_spans(text: bytes, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Weak parts that complementary parts in their scope confirm."""
     ids = [(s, e, False) for s, e, k in base if k == "access"]
@@ -75,16 +106,18 @@ def linked_spans(text: bytes, base: list[tuple[int, int, str]]) -> list[tuple[in
     if not ids:
         return []
     taken = sorted((s, e) for s, e, _ in base)
+    furthest = list(itertools.accumulate((e for _, e in taken), max))
 
     def free(s: int, e: int) -> bool:
+        """Whether no base finding that starts before e ends after s."""
         i = bisect.bisect_left(taken, (e,)) - 1
-        return not any(taken[j][1] > s for j in range(max(0, i - 2), i + 1))
+        return i < 0 or furthest[i] <= s
 
     breaks = [m.start() for m in re.finditer(rb"\n[\x20\t\r]*\n", text)]
     named = {e for s, e, weak in ids if weak}
     secrets = [(s, e, False) for s, e, k in base if k in ("assign", "hex")]
     secrets += [(m.start(), m.end(), True) for m in _WEAK_SECRET.finditer(text) if m.end() not in named and _dense(m[0], text[max(0, m.start() - 80) : m.start()]) and free(*m.span())]
-    points = [(m.start(), m.end(), True) for m in _ENDPOINT.finditer(text) if free(*m.span())]
+    points = [(a, b, True) for a, b in endpoints(text) if free(a, b)]
 
     def within(parts: list[tuple[int, int, bool]]):
         """A search for the parts that reach into a range, however long they are."""
@@ -96,8 +129,9 @@ def linked_spans(text: bytes, base: list[tuple[int, int, str]]) -> list[tuple[in
     out = set()
     for s, e, weak in ids:
         i = bisect.bisect_right(breaks, s)
-        low = max(s - SCOPE, breaks[i - 1] if i else 0)
-        high = min(e + SCOPE, breaks[i] if i < len(breaks) else len(text))
+        low, high = _reach(text, s, e)
+        low = max(low, breaks[i - 1] if i else 0)
+        high = min(high, breaks[i] if i < len(breaks) else len(text))
         near = [x for x in secrets_in(low, high) if x[1] <= s or x[0] >= e]
         if not near:
             continue
