@@ -6,7 +6,8 @@ stand out from the frame's mean are peaks. Pairs of peaks in neighbouring bands
 kept as time-coded integers: frame << 32 | band-wise pair code.
 
 Defined results: a null or empty text is one block of padding; payloads of any length are transformed whole, in blocks
-of frames; equal texts give equal values; other columns are not read.
+of frames; equal texts give equal values, repeated rows repeated results; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -116,7 +117,8 @@ def landmark_column(stored: DataFrame) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Stores each text's payload, reads it back and digests what was read, the stored form and the landmarks."""
+    """Stores each text's payload, reads it back, digests what was read and the stored form, and gives the time-coded
+    landmark array beside its digest (`feature`: peaks, landmarks, hash)."""
 
     def rows(source):
         for doc_id, raw in source:
@@ -124,7 +126,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
             payload = from_wav(media)
             count, marks = fingerprint(payload)
             feature = f"{count}:{len(marks)}:{hashlib.sha256(marks.astype('<i8').tobytes()).hexdigest()[:32]}"
-            yield doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+            yield doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, marks.tolist()
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, landmarks array<long>"
     return per_row(docs.select("doc_id", text_bytes().alias("t")), schema, rows, 64)
