@@ -2,18 +2,24 @@
 
 The automaton accepts every run of words of the licence templates. A text's words stream through it and give matching
 statistics: at each word, the longest run ending there that some template contains. Matches that cannot be extended and
-have MIN_MATCH words or more are chained per template (rising in text and template, with gaps of at most MAX_GAP words)
+have MIN_MATCH words or more (whose starts and ends both rise) are chained per template (rising in text and template, with gaps of at most MAX_GAP words)
 into covered spans. A span that covers MIN_COVERED words of a template adds the template's label. The base phrases are
 counted on their own and always keep their labels.
 
-Words outside all templates cut the stream, so only runs of template words are walked.
+Words outside all templates cut the stream, so only runs of template words are walked. Templates are whole licence texts:
+the short ones are below, the long ones are files of the folder licence_texts, named label-version.txt; other templates
+can be given.
 
-Defined results: a null or empty text has no words, no labels and score 0; texts of any length are read whole in linear
-time; equal labels of several templates are one label; repeated rows give repeated results; other columns are not read.
+Defined results: a null or empty text has no words, no labels and score 0; texts of any length are read whole, one
+automaton step a word; equal labels of several templates are one label; repeated rows give repeated results; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -25,15 +31,18 @@ MIN_MATCH, MAX_GAP, MIN_COVERED = 4, 24, 12
 #: label -> phrase whose consecutive words count as base findings.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-#: (label, template). Passages of the public licence texts.
-TEMPLATES = (
+#: (label, template). Public licence texts without their copyright lines, and the notices that stand in source files.
+SHORT = (
     ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
     associated documentation files (the "Software"), to deal in the Software without restriction, including without
     limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
     Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
     The above copyright notice and this permission notice shall be included in all copies or substantial portions of
     the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
-    NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
+    NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+    SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+    CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+    THE SOFTWARE."""),
     ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
     compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
     Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
@@ -50,18 +59,46 @@ TEMPLATES = (
     list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
     notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
     with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to
-    endorse or promote products derived from this software without specific prior written permission."""),
+    endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS
+    PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+    LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+    EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY,
+    OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+    DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+    STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+    EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-    hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
+    SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+    IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+    INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN
+    AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+    PERFORMANCE OF THIS SOFTWARE."""),
     ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
     MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("cc", """This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License. To
     view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/"""),
     ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy,
     modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
-    binary, for any purpose, commercial or non-commercial, and by any means."""),
+    binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright
+    laws, the author or authors of this software dedicate any and all copyright interest in the software to the public
+    domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+    successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future
+    rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS
+    OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+    NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+    ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+    DEALINGS IN THE SOFTWARE."""),
 )
 
+
+def long_texts(folder: Path = Path(__file__).parent / "licence_texts") -> tuple[tuple[str, str], ...]:
+    """(label, template) of the text files of a folder, by name; the label is the name up to its first hyphen."""
+    return tuple((p.stem.partition("-")[0], p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt")))
+
+
+TEMPLATES = (*SHORT, *long_texts())
+
 #: Bytes other than 0-9, a-z and those above 127 separate words; A-Z are lower-cased.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -142,6 +179,28 @@ class SuffixAutomaton:
             yield s, n
 
 
+def chain(found: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The words that the best chain ending in each match covers, and the match before it (-1: none).
+
+    found: (start, end, start in the template), sorted; ends rise with starts, so the walk back stops at the first match
+    that ends too early.
+    """
+    best, source = [], []
+    for i, (start, end, place) in enumerate(found):
+        cover, came = end - start, -1
+        for j in range(i - 1, -1, -1):
+            s, e, p = found[j]
+            if start - e > MAX_GAP:
+                break
+            if s < start and p < place and place - (p + e - s) <= MAX_GAP:
+                gained = best[j] + min(end - max(start, e), place + end - start - max(place, p + e - s))
+                if gained > cover:
+                    cover, came = gained, j
+        best.append(cover)
+        source.append(came)
+    return best, source
+
+
 class LicenseScanner:
     """Finds template spans and base phrases in texts."""
 
@@ -202,21 +261,7 @@ class LicenseScanner:
         out = []
         for name, found in per_template.items():
             found.sort()
-            reach = MAX_GAP + max(end - start for start, end, _ in found)
-            best, source = [], []
-            for i, (start, end, place) in enumerate(found):
-                cover, came = end - start, -1
-                for j in range(i - 1, -1, -1):
-                    s, e, p = found[j]
-                    if start - s > reach:
-                        break
-                    ahead, forth = start - s, place - p
-                    if ahead > 0 and forth > 0 and start - e <= MAX_GAP and place - (p + e - s) <= MAX_GAP:
-                        gained = best[j] + min(end - max(start, e), place + end - start - max(place, p + e - s))
-                        if gained > cover:
-                            cover, came = gained, j
-                best.append(cover)
-                source.append(came)
+            best, source = chain(found)
             used: set[int] = set()
             covered: set[int] = set()
             for i in sorted(range(len(found)), key=lambda i: -best[i]):
@@ -250,11 +295,17 @@ class LicenseScanner:
         }
 
 
-def license_spans(docs: DataFrame) -> DataFrame:
+@lru_cache(maxsize=2)
+def _scanner(templates: tuple[tuple[str, str], ...]) -> LicenseScanner:
+    """A worker builds its automaton once."""
+    return LicenseScanner(templates)
+
+
+def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """Counts, labels and score of each whole text, and its covered spans (label:start:end in words, comma-joined)."""
 
     def rows(source):
-        scanner = LicenseScanner()
+        scanner = _scanner(templates)
         for doc_id, text in source:
             x = scanner.scan(text)
             yield doc_id, x["n_words"], x["n_base"], x["first_word"], x["last_word"], x["base_labels"], x["labels"], x["score"], ",".join(f"{n}:{s}:{e}" for n, s, e, _ in x["spans"])
