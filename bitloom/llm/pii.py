@@ -2,7 +2,8 @@
 
 Candidates are regex matches of four base kinds and of further shapes (national ids, account numbers, titled names,
 spelled-out addresses). Labelers vote on each candidate: the shape's own check (octets, Luhn, digit count), context
-words before the span, context words after it, a gazetteer of names and domains, and separators in the number. Votes
+words before the span, context words after it, a gazetteer of given names, family names and mail providers (a parameter;
+its words are looked up in a hash set), and separators in the number. Votes
 are counted by pattern; expectation-maximisation over the counts estimates how often each labeler fires on personal
 and on other spans, and a logistic classifier over kind and votes is trained on the resulting soft labels. Counts of
 patterns are at most KINDS x 2^LABELERS rows whatever the input, so the fit is arithmetic over a bounded table; both
@@ -17,7 +18,7 @@ the pattern itself. Offsets are sums of the lengths of matches and of the pieces
 matches so that texts with very many matches cost little more than a pass.
 
 Defined results: a null or empty text has no spans; texts of any length are searched whole; repeated rows give repeated
-results; other columns are not read.
+results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,7 +48,21 @@ LABELERS = ("check", "before", "after", "gazetteer", "separated")
 CONTEXT = 24
 _BEFORE = r"(?i)\b(?:e-?mail|mail|contact|phone|tel|mobile|call|fax|card|visa|mastercard|credit|ssn|social security|passport|iban|account|name|signed|attn|dear|ip|address|login|user)\b[^\n]{0,12}$"
 _AFTER = r"(?i)^[^\n]{0,6}\b(?:e-?mail|phone|mobile|expires?|exp|cvv|born|dob|resident|wrote|writes|said)\b"
-_NAMES = r"(?i)\b(?:james|john|robert|michael|william|david|mary|patricia|jennifer|linda|elizabeth|anna|maria|peter|paul|thomas|laura|sarah|smith|johnson|brown|jones|miller|davis|garcia|martin|schmidt|mueller|dubois|gmail|yahoo|hotmail|outlook|proton)"
+#: Words of the gazetteer: common given names, family names, and mail providers.
+GAZETTEER = tuple("""
+    james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark steven
+    paul andrew george kenneth edward brian kevin mary patricia jennifer linda elizabeth barbara susan jessica sarah karen
+    nancy lisa margaret sandra ashley emily donna michelle carol amanda laura jane anna emma alice
+    jean pierre michel philippe alain nicolas marie nathalie isabelle sylvie catherine camille claire sophie
+    hans peter klaus juergen stefan andreas markus ursula monika petra sabine claudia julia katharina
+    jose juan antonio manuel francisco javier carlos miguel luis pedro maria carmen ana isabel lucia elena pilar
+    smith johnson williams brown jones miller davis wilson anderson taylor moore jackson white harris clark lewis walker
+    hall young king wright scott green baker adams nelson carter mitchell roberts turner phillips campbell parker evans
+    martin bernard dubois durand leroy moreau laurent lefebvre fournier girard
+    mueller schmidt schneider fischer weber meyer wagner becker schulz hoffmann koch richter
+    garcia gonzalez rodriguez fernandez lopez martinez sanchez perez gomez ruiz diaz
+    gmail yahoo hotmail outlook protonmail icloud gmx aol
+""".split())
 ACCEPT, MIN_VOTES = 0.9, 2
 ROUNDS = 60
 BLOCK = 256
@@ -83,11 +98,11 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(kind: str, x: Column) -> Column:
+def _votes(kind: str, x: Column, names: tuple[str, ...]) -> Column:
     """The labelers' votes on a match as bits, in the order of LABELERS."""
     value = x["m"]
     near = F.right(x["p"], F.lit(CONTEXT))
-    gazetteer = F.concat(near, F.lit(" "), value).rlike(_NAMES)
+    gazetteer = F.exists(F.split(F.lower(F.concat(near, F.lit(" "), value)), r"[^a-z\x{00C0}-\x{024F}]+"), lambda w: w.isin(*names))
     separated = F.lit(True) if kind in EXTRA else value.rlike(r"[0-9][ .()-]+[0-9]") if kind in ("card", "phone") else F.lit(False)
     fired = (passes(kind, value), near.rlike(_BEFORE), F.left(x["q"], F.lit(CONTEXT)).rlike(_AFTER), gazetteer, separated)
     bits = F.lit(0)
@@ -96,7 +111,7 @@ def _votes(kind: str, x: Column) -> Column:
     return bits
 
 
-def _found(kind: str, pattern: str, must: str) -> Column:
+def _found(kind: str, pattern: str, must: str, names: tuple[str, ...]) -> Column:
     """The matches of one kind in `t`: array of (kind number, start, end, check passed, votes)."""
     none = F.array().cast(f"array<{_SPAN}>")
     pieces = F.split("t", pattern, -1)
@@ -107,7 +122,7 @@ def _found(kind: str, pattern: str, must: str) -> Column:
     def one(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        votes = _votes(kind, x)
+        votes = _votes(kind, x, names)
         span = F.struct(F.lit(KINDS.index(kind)).alias("k"), start.alias("s"), end.alias("e"), votes.bitwiseAND(1).cast("boolean").alias("ok"), votes.alias("votes")).cast(_SPAN)
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
@@ -121,10 +136,10 @@ def _found(kind: str, pattern: str, must: str) -> Column:
     return F.when((F.contains("t", F.lit(must)) & there) if must else there, spans).otherwise(none)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, gazetteer: tuple[str, ...] = GAZETTEER) -> DataFrame:
     """doc_id and all candidate spans of each whole text."""
     texts = docs.select("doc_id", whole_text().alias("t"))
-    return texts.select("doc_id", F.concat(*(_found(k, *spec) for k, spec in (BASE | EXTRA).items())).alias("spans"))
+    return texts.select("doc_id", F.concat(*(_found(k, *spec, gazetteer) for k, spec in (BASE | EXTRA).items())).alias("spans"))
 
 
 def em(patterns: list[tuple[int, int, int]]) -> tuple[float, list[float], list[float], list[float]]:
@@ -178,9 +193,9 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(order, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def pii_spans(docs: DataFrame) -> DataFrame:
+def pii_spans(docs: DataFrame, gazetteer: tuple[str, ...] = GAZETTEER) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans of each whole text."""
-    found = materialise(candidates(docs), "pii-candidates")
+    found = materialise(candidates(docs, gazetteer), "pii-candidates")
     # At most len(KINDS) * 2 ** len(LABELERS) rows, whatever the input.
     counted = found.select(F.explode("spans").alias("x")).groupBy("x.k", "x.votes").count().collect()
     patterns = sorted((r["k"], r["votes"], r["count"]) for r in counted)
