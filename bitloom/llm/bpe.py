@@ -6,7 +6,8 @@ pair that now stands there merges into something else. Decoding concatenates voc
 between tokens, as the vocabulary file names no decoder.
 
 Defined results: a null or empty text has no tokens; texts of any length are encoded whole; special tokens that occur
-literally in a text get their own ids, as in the library that the vocabulary file is meant for.
+literally in a text get their own ids, as in the library that the vocabulary file is meant for; repeated rows give
+repeated results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ sent to the driver and from there to the workers.
 
 Defined results: a null URL or one without "://" has an empty host and path and no rule; the models judge it by its
 characters, and a null or empty one, without characters, is allowed; so is everything where rules leave no URLs of
-both kinds to learn from. Repeated rows count and are judged each. Other columns are not read.
+both kinds to learn from. Repeated rows count and are judged each; a null page_id is judged like any other; an empty
+table gives an empty result. Columns other than page_id and url are not read.
 """
 
 from __future__ import annotations
@@ -159,11 +160,13 @@ def _scored(rows: DataFrame, models: Models) -> DataFrame:
 def fit(ruled: DataFrame) -> Models:
     """Counts the models over all ruled URLs and calibrates the cut on the fold that is left out."""
     known = ruled.filter("ruled IS NOT NULL").select("url", (F.col("ruled") == "allow").alias("allowed"), (F.crc32(F.col("url").cast("binary")) % FOLDS == 0).alias("held"))
-    found = counts(known.filter("NOT held")).collect()
+    found = counts(known.filter("NOT held")).toArrow()
+    allowed, code, n = (found.column(i).to_numpy() for i in range(3))
     sides = []
     for side in (True, False):
-        part = sorted((r["code"], r["n"]) for r in found if r["allowed"] == side)
-        sides.append((np.array([c for c, _ in part], dtype=np.int64), np.array([n for _, n in part], dtype=np.float64)))
+        at = np.flatnonzero(allowed == side)
+        at = at[np.argsort(code[at])]
+        sides.append((code[at].astype(np.int64), n[at].astype(np.float64)))
     models = Models(*sides)
     if not models.ready():
         return models
