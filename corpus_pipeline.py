@@ -2,6 +2,11 @@
 
 Toxic documents go, of equal texts one stays, of each SimHash component one stays, secrets are masked in the text, and
 the rest is packed into token sequences.
+
+Defined results: a null text counts as empty, is not toxic, and of all empty texts one stays; rows are decided each by
+their own text, so that rows which share a doc_id, or have none, stay where their texts differ, and of rows equal in
+both one stays; texts of any length are read whole; columns beyond those of documents are carried to the last stage,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
