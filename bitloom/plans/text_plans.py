@@ -81,16 +81,20 @@ def word_bits(spark, d):
 def sdr_doc_overlap(spark, d):
     """Flagship: for every document the benchmark item whose bit set overlaps its own most.
 
-    Blocks of eight positions stand for the positions in the join, an eighth of the rows; the best item is a partial
-    aggregate, so no window sorts the pairs.
+    Blocks of eight positions stand for the positions. A set is a row of 64-bit masks of blocks, so a document meets all
+    items inside its row and nothing but words is shuffled; beyond a counted number of items sets are joined by block.
     """
     doc_words, vocabulary = _doc_blocks(spark, d)
-    docs = doc_words.select("doc_id", (F.col("idx") % 1250).alias("pos")).distinct()
-    items = table(spark, d, "benchmark").select("item_id", F.explode(T.words(F.col("text"))).alias("word")).distinct()
-    items = items.join(vocabulary, "word").select("item_id", (F.col("idx") % 1250).alias("pos")).distinct()
-    scored = sets.overlap(docs, items, ["doc_id"], ["item_id"])
-    best = scored.groupBy("doc_id").agg(F.max(F.struct(F.round("overlap", 9).alias("o"), "shared", (-F.col("item_id")).alias("i"))).alias("b"))
-    return best.select("doc_id", (-F.col("b.i")).alias("item_id"), (F.col("b.shared") * 8).alias("shared"), F.round("b.o", 6).alias("overlap"))
+    benchmark = table(spark, d, "benchmark")
+    items = benchmark.select("item_id", F.explode(T.words(F.col("text"))).alias("word"))
+    items = items.join(vocabulary, "word").select("item_id", (F.col("idx") % 1250).alias("pos"))
+    docs = doc_words.select("doc_id", (F.col("idx") % 1250).alias("pos"))
+    if benchmark.count() <= sets.MAX_IN_ROW:
+        best = sets.best_overlap(docs, items, "doc_id", "item_id", 1250)
+    else:
+        scored = sets.overlap(docs.distinct(), items.distinct(), ["doc_id"], ["item_id"])
+        best = scored.groupBy("doc_id").agg(F.max(F.struct(F.round("overlap", 9).alias("o"), "shared", (-F.col("item_id")).alias("i"))).alias("b"))
+    return best.select("doc_id", (-F.col("b.i")).alias("item_id"), (F.col("b.shared") * 8).cast("long").alias("shared"), F.round("b.o", 6).alias("overlap"))
 
 
 _TURN_BLOCKS_SQL = f"""
@@ -131,9 +135,18 @@ def word_decode(spark, d):
     """Words of which at least two positions are set, for each turn."""
     words = _turn_words(spark, d)
     # Blocks are all or nothing, so a word's eight positions are set together.
+    found = _decoded(words).select("conv_id", "turn", F.explode("w").alias("w"))
+    return found.select("conv_id", "turn", F.lit(8).cast("long").alias("n_bits"), "w.idx", "w.word")
+
+
+def _decoded(words):
+    """(conv_id, turn, w): all words, as (idx, word), that own one of a turn's blocks, block by block.
+
+    The vocabulary is one row for each of the 1,250 blocks; adaptive execution broadcasts it where its measured size allows.
+    """
     blocks = words.select("conv_id", "turn", (F.col("idx") % 1250).alias("block")).distinct()
-    vocabulary = words.select("word", "idx", (F.col("idx") % 1250).alias("block")).distinct()
-    return blocks.join(vocabulary, "block").select("conv_id", "turn", F.lit(8).cast("long").alias("n_bits"), "idx", "word")
+    owners = words.select("word", "idx").distinct().groupBy((F.col("idx") % 1250).alias("block")).agg(F.collect_list(F.struct("idx", "word")).alias("w"))
+    return blocks.join(owners, "block").select("conv_id", "turn", "w")
 
 
 @query("sdr_union", f"WITH {_TURN_BLOCKS_SQL} SELECT DISTINCT conv_id, pos FROM turn_bits")
@@ -321,14 +334,12 @@ def set_vocabulary(spark, d):
 
 
 @query("sdr_decode", f"""
-    WITH {_TURN_BLOCKS_SQL}, found AS (SELECT b.conv_id, b.turn, v.idx, v.word, count(*) AS n FROM turn_bits b JOIN (SELECT word, idx, (idx * 8 + k) % 10000 AS pos FROM vocab WHERE idx < 1250, (SELECT unnest(range(8)) AS k)) v USING (pos) GROUP BY ALL HAVING count(*) >= 2)
-    SELECT conv_id, turn, string_agg(word, ' ' ORDER BY idx) AS text FROM found GROUP BY conv_id, turn""".replace("FROM vocab WHERE idx < 1250, (SELECT unnest(range(8)) AS k)", "FROM vocab, (SELECT unnest(range(8)) AS k) WHERE idx < 1250"))
+    WITH {_TURN_BLOCKS_SQL}, owned AS (SELECT word, idx, (idx * 8 + k) % 10000 AS pos FROM vocab, (SELECT unnest(range(8)) AS k)),
+    found AS (SELECT conv_id, turn, idx, word FROM turn_bits JOIN owned USING (pos) GROUP BY ALL HAVING count(*) >= 2)
+    SELECT conv_id, turn, string_agg(word, ' ' ORDER BY idx) AS text FROM found GROUP BY conv_id, turn""")
 def sdr_decode(spark, d):
-    """Text of each turn's positions with the first 1,250 words as vocabulary, whose blocks do not overlap."""
-    words = _turn_words(spark, d)
-    blocks = words.select("conv_id", "turn", (F.col("idx") % 1250).alias("idx")).distinct()
-    vocabulary = words.filter("idx < 1250").select("word", "idx").distinct()
-    found = blocks.join(vocabulary, "idx").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("idx", "word"))).alias("w"))
+    """Text of each turn's positions: every word of the vocabulary of which two positions or more are set, by number."""
+    found = _decoded(_turn_words(spark, d)).groupBy("conv_id", "turn").agg(F.array_sort(F.flatten(F.collect_list("w"))).alias("w"))
     return found.select("conv_id", "turn", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
 
 
