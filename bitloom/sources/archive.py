@@ -1,13 +1,11 @@
 """Segment archives: an index table and a payload table, written in bulk or as a stream.
 
 An archive is a folder with two Parquet tables: `index` (a row per segment, without payload) and `payload` (segment name and
-bytes, dealt by kind). Reading the index touches no payload; reading one segment filters by name.
+coded bytes, dealt by kind). Reading the index touches no payload; reading one segment filters by name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ RAW, ADAPTIVE, RLE, GZIP, QUANT, HIERARCHICAL = 0, 1, 2, 3, 4, 5
 
 _WEIGHTS = ("ATTENTION_WEIGHTS", "FEED_FORWARD_WEIGHTS", "EMBEDDING_WEIGHTS", "LAYER_NORM_WEIGHTS")
 _TEXTS = ("CONFIG", "TOKENIZER_VOCAB", "TOKENIZER_MODEL")
-#: (segment kind, priority, strategy), all options switched on.
+#: (segment kind, priority, strategy), all options switched on. Fixed values.
 REGISTERED = (
     *((k, 1, ADAPTIVE) for k in ("METADATA_JSON", "GRAPH_STRUCTURE_PROTO", *_TEXTS)),
     ("SPARSE_INDICES", 2, ADAPTIVE),
@@ -30,28 +28,6 @@ REGISTERED = (
 WEIGHT_KINDS = ("WEIGHTS_FP32", "WEIGHTS_FP16", "WEIGHTS_INT8", "WEIGHTS_INT4", *_WEIGHTS)
 
 
-def registered(spark: SparkSession) -> DataFrame:
-    """The strategy table."""
-    return spark.createDataFrame(list(REGISTERED), "kind string, priority int, sid int")
-
-
-def works_by_size(sid: Column) -> Column:
-    """A stand-in for trying a strategy: whether it succeeds follows from the segment's size."""
-    n = F.col("original_size")
-    return F.when(sid == HIERARCHICAL, n % 16 == 0).when(sid == QUANT, n % 4 == 0).when(sid == ADAPTIVE, n % 3 != 0).when(sid == RLE, n % 2 == 0).otherwise(True)
-
-
-def choose_strategy(segments: DataFrame, works: Callable[[Column], Column]) -> DataFrame:
-    """Adds `strategy`: of the kind's strategies that work, the one with the lowest priority number; raw if there is none.
-
-    The strategy table is fixed and small: it becomes an array column by kind, so segments are neither shuffled nor multiplied.
-    """
-    table = registered(segments.sparkSession).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("priority", "sid"))).alias("_options"))
-    joined = segments.join(F.broadcast(table), "kind", "left")
-    able = F.filter("_options", lambda o: works(o["sid"]))
-    return joined.withColumn("strategy", F.coalesce(F.get(able, F.lit(0))["sid"], F.lit(RAW))).drop("_options")
-
-
 def offsets(df: DataFrame, bucket: Column, order: str, size: str) -> DataFrame:
     """Adds `place`: the sum of the sizes before a row in `order`. `bucket` never falls along that order; only bucket sums
     pass through one task."""
@@ -70,15 +46,24 @@ def skipped(segments: DataFrame, skip: Column) -> DataFrame:
     )
 
 
-def write(segments: DataFrame, path: str, skip: Column | None = None, mode: str = "overwrite") -> None:
+def write(segments: DataFrame, path: str, skip: Column | None = None, mode: str = "overwrite", compress: bool = True) -> None:
     """Writes segments (name, kind, data binary, and any further index columns) as an archive.
 
-    Payloads are dealt into folders by kind; the index holds sizes and digests. Both are computed from the same rows.
+    Each payload is coded by the first strategy of its kind that applies (or stored raw) and dealt into a folder by kind;
+    the index holds original and stored sizes, the strategy, and a digest of the stored bytes.
     """
+    from bitloom.operators import coding
+
     kept = segments if skip is None else segments.filter(~F.coalesce(skip, F.lit(False)))
     rest = [c for c in segments.columns if c != "data"]
-    kept.select("name", "kind", "data").write.mode(mode).partitionBy("kind").parquet(f"{path}/payload")
-    kept.select(*rest, F.octet_length("data").cast("long").alias("original_size"), F.sha2("data", 256).alias("sha256")).write.mode(mode).parquet(f"{path}/index")
+    if compress:
+        coded = coding.compress(kept)
+    else:
+        coded = kept.withColumn("strategy", F.lit(RAW)).withColumn("original_size", F.octet_length("data").cast("long"))
+    # Coded once: the index is made from the payload that was written.
+    coded.write.mode(mode).partitionBy("kind").parquet(f"{path}/payload")
+    stored = segments.sparkSession.read.parquet(f"{path}/payload")
+    stored.select(*rest, "strategy", "original_size", F.octet_length("data").cast("long").alias("stored_size"), F.sha2("data", 256).alias("sha256")).write.mode("overwrite").parquet(f"{path}/index")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -86,8 +71,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/index")
 
 
-def read(spark: SparkSession, path: str, names: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
-    """name, data, kind; names and kinds are pushed down to the payload scan. A name that is missing is an error."""
+def read(spark: SparkSession, path: str, names: list[str] | None = None, kinds: list[str] | None = None, raw: bool = False) -> DataFrame:
+    """name, data, kind; names and kinds are pushed down to the payload scan. A name that is missing is an error.
+
+    Payloads are decoded by the strategy that coded them; raw: as they are stored, with their strategy.
+    """
+    from bitloom.operators import coding
+
     payload = spark.read.parquet(f"{path}/payload")
     if kinds is not None:
         payload = payload.filter(F.col("kind").isin(kinds))
@@ -96,7 +86,8 @@ def read(spark: SparkSession, path: str, names: list[str] | None = None, kinds:
         there = {r["name"] for r in read_index(spark, path).filter(F.col("name").isin(names)).select("name").collect()}
         if missing := set(names) - there:
             raise KeyError(f"no such segment: {', '.join(sorted(missing))}")
-    return payload
+    stored = payload.select("name", "data", "kind", "strategy", "original_size") if "strategy" in payload.columns else payload.select("name", "data", "kind")
+    return stored if raw or "strategy" not in stored.columns else coding.decompress(stored)
 
 
 def extract(spark: SparkSession, path: str, to: str) -> None:
@@ -105,16 +96,17 @@ def extract(spark: SparkSession, path: str, to: str) -> None:
 
 
 def stream_to(segments: DataFrame, path: str, checkpoint: str):
-    """A streaming sink: each batch appends payload and index. Returns the started query.
+    """A streaming sink: each batch is coded as in write() and appends payload and index. Returns the started query.
 
     A batch that is run again replaces what it wrote: batches have folders of their own.
     """
+    from bitloom.operators import coding
 
     def append(batch: DataFrame, number: int) -> None:
-        rows = batch.persist()
-        rows.select("name", "kind", "data").write.mode("overwrite").parquet(f"{path}/payload/batch={number}")
-        rest = [c for c in rows.columns if c != "data"]
-        rows.select(*rest, F.octet_length("data").cast("long").alias("original_size"), F.sha2("data", 256).alias("sha256")).write.mode("overwrite").parquet(f"{path}/index/batch={number}")
-        rows.unpersist()
+        at = f"{path}/payload/batch={number}"
+        coding.compress(batch).write.mode("overwrite").parquet(at)
+        stored = batch.sparkSession.read.parquet(at)
+        rest = [c for c in batch.columns if c != "data"]
+        stored.select(*rest, "strategy", "original_size", F.octet_length("data").cast("long").alias("stored_size"), F.sha2("data", 256).alias("sha256")).write.mode("overwrite").parquet(f"{path}/index/batch={number}")
 
     return segments.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
