@@ -10,8 +10,7 @@ FORMATS = {"onnx": "onnx", "gguf": "gguf", "pb": "tensorflow", "pt": "pytorch",
 
 #: (parts of a name, role); the first that fits counts. Fixed values.
 TENSOR_ROLES = (
-    (("attn_q", "q_proj", ".wq", "attn_k", "k_proj", ".wk", "attn_v", "v_proj", ".wv", "attn_output", "o_proj", ".wo"), "LINEAR"),
-    (("ffn_gate", "gate_proj", "w1", "ffn_down", "down_proj", "w2", "ffn_up", "up_proj", "w3"), "LINEAR"),
+    (("attn_q", "q_proj", ".wq", "attn_k", "k_proj", ".wk", "attn_v", "v_proj", ".wv", "attn_output", "o_proj", ".wo", "ffn_gate", "gate_proj", "w1", "ffn_down", "down_proj", "w2", "ffn_up", "up_proj", "w3"), "LINEAR"),
     (("token_embd", "tok_embeddings"), "TOKEN_EMBEDDING"),
     (("output",), "LINEAR"),
     (("norm",), "NORM"),
@@ -31,6 +30,7 @@ LAYER_PATTERNS = (
     r"(?:^|\.)([0-9]+)\.(?:attn|ffn|mlp|norm)(?:\.|$)",
     r"(?:transformer|model)\.(?:h|layers)\.([0-9]+)(?:\.|$)",
 )
+#: Endings of tensor names and of layer names, in the order in which they are tried. Fixed values.
 TENSOR_SUFFIXES = (".weight", ".bias", ".scales", ".weight_scale", ".weight_bias", ".gamma", ".beta")
 NAME_SUFFIXES = (".weight", ".weights", ".bias", "/weight", "/weights", "/bias", "_weight", "_bias")
 #: Layer type names as written in layer descriptions -> layer type. Fixed values.
@@ -38,6 +38,8 @@ LAYER_TYPES = {
     "conv": "CONV2D", "linear": "LINEAR", "gemm": "LINEAR", "matmul": "LINEAR", "dense": "LINEAR", "attention": "ATTENTION", "norm": "NORM", "layer_norm": "NORM",
     "batchnormalization": "BatchNormalization", "layernormalization": "LayerNormalization", "pool": "POOLING", "activation": "ACTIVATION", "add": "Add", "relu": "Relu", "sigmoid": "Sigmoid",
     "tanh": "Tanh", "softmax": "Softmax", "gelu": "Gelu", "leakyrelu": "LeakyRelu", "leaky_relu": "LeakyRelu", "elu": "Elu", "silu": "Silu", "swish": "Silu", "reshape": "Reshape", "transpose": "Transpose",
+    "flatten": "Flatten", "concat": "Concat", "slice": "Slice", "gather": "Gather", "sub": "Sub", "mul": "Mul", "div": "Div", "maxpool": "MaxPool", "averagepool": "AveragePool", "avgpool": "AveragePool",
+    "globalaveragepool": "GlobalAveragePool",
 }
 
 
@@ -123,6 +125,11 @@ def protected(name: Column, depth: Column, n: int, total: int) -> Column:
     return mlp & edge
 
 
+def named(name: Column, names: list[str]) -> Column:
+    """Whether a tensor is protected by a set of names."""
+    return name.isin(*names) if names else F.lit(False)
+
+
 def layer_type(written: Column) -> Column:
     """Layer type of a name in a layer description; unknown names stay."""
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LAYER_TYPES.items() for x in kv)), F.lower(written)), written)
@@ -146,7 +153,7 @@ def operation(name: Column, kind: Column, weights: Column, biases: Column, kerne
     )
 
 
-#: (name of a pattern, regex of base and number) of files in parts.
+#: (name of a pattern, regex of base and number) of files in parts. Fixed values.
 PART_PATTERNS = (("of", r"^(.+)-([0-9]+)-of-[0-9]+\.[^.]+$"), ("suffix", r"^(.+)\.([0-9]+)$"), ("part", r"^(.+)_part([0-9]+)(?:\.[^.]+)?$"))
 
 

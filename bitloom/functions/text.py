@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 TOKEN = r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+"
 RUN = r"[^\s!-/:-@\[-`{-~]+"
 PUNCTUATION = r"^[!-/:-@\[-`{-~]$"
+#: Special characters and the alphabet in the order of their codes. Fixed values.
 SPECIALS = "!@#$%^&*()_+-=[]{}`~|;:'\"<>,.?/\\"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,!?-'\"();:"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

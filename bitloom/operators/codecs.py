@@ -73,10 +73,12 @@ def active_count(n: Column, sparsity) -> Column:
     return F.least(k, F.when(s >= 0.1, wide).otherwise(narrow)).cast("long")
 
 
-def top_k(long: DataFrame, by: list[str], k: Column) -> DataFrame:
-    """The k largest magnitudes of each group; lower positions first on ties."""
-    order = W.partitionBy(*by).orderBy(F.desc(F.abs("v")), "i")
-    return long.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+def top_k(df: DataFrame, k: Column) -> DataFrame:
+    """Adds `kept`: the k largest magnitudes of the vector x as (i, v), by position; lower positions win ties. Vectors are
+    ranked inside their rows."""
+    ranked = F.array_sort(F.transform("x", lambda v, i: F.struct((-F.abs(v)).alias("m"), i.cast("long").alias("i"), v.alias("v"))))
+    first = F.transform(F.slice(ranked, F.lit(1), k.cast("int")), lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v")))
+    return df.withColumn("kept", F.array_sort(first))
 
 
 def uniform(long: DataFrame, n: int, k: int) -> DataFrame:
@@ -85,12 +87,28 @@ def uniform(long: DataFrame, n: int, k: int) -> DataFrame:
     return long.filter((F.col("i") % step == 0) & (F.floor(F.col("i") / step) < k))
 
 
-def index_values(long: DataFrame, by: list[str], levels: int = 65535) -> DataFrame:
-    """Adds lo, scale and the code q of each entry between its group's extremes."""
-    w = W.partitionBy(*by)
-    ends = long.withColumn("lo", F.min("v").over(w)).withColumn("_hi", F.max("v").over(w))
-    scale = F.when(F.col("_hi") > F.col("lo"), (F.col("_hi") - F.col("lo")) / levels).otherwise(1.0)
-    return ends.withColumn("scale", scale).withColumn("q", F.floor((F.col("v") - F.col("lo")) / F.col("scale"))).drop("_hi")
+def index_values(df: DataFrame, levels: int = 65535) -> DataFrame:
+    """Adds lo, scale and `coded`, the kept entries as (i, v, q) with the code q between the row's extremes."""
+    values = F.transform("kept", lambda e: e["v"])
+    ends = F.struct(F.array_min(values).alias("lo"), F.array_max(values).alias("hi"))
+    held = let(ends, lambda e: F.struct(e["lo"].alias("lo"), F.when(e["hi"] > e["lo"], (e["hi"] - e["lo"]) / levels).otherwise(1.0).alias("scale")))
+    each = df.withColumn("_h", held).select(*df.columns, "_h.lo", "_h.scale")
+    return each.withColumn("coded", F.transform("kept", lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v"), F.floor((e["v"] - F.col("lo")) / F.col("scale")).alias("q"))))
+
+
+def varint(c: Column) -> Column:
+    """The bytes of a non-negative integer below 2^35, seven bits in each, low bits first, the top bit set but for the last."""
+    part = lambda k: F.shiftrightunsigned(c.cast("long"), 7 * k).bitwiseAND(127)
+    at = lambda n: F.concat(*(F.unhex(F.lpad(F.hex(part(k) + (128 if k < n - 1 else 0)), 2, "0")) for k in range(n)))
+    n = varint_bytes(c)
+    return F.when(n == 1, at(1)).when(n == 2, at(2)).when(n == 3, at(3)).when(n == 4, at(4)).otherwise(at(5))
+
+
+def from_varint(data: Column) -> Column:
+    """The integer of varint()."""
+    pairs = F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0))
+    value = F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("long").bitwiseAND(127))
+    return F.aggregate(F.reverse(value), F.lit(0).cast("long"), lambda a, x: a * 128 + x)
 
 
 def format_flag(n: Column) -> Column:
@@ -195,33 +213,33 @@ def densify(kept: DataFrame, n: Column) -> DataFrame:
     return kept.withColumn("dense", let(lookup, lambda m: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))))
 
 
-def fill(kept: DataFrame, n: Column, rule: Callable[[Column], Column]) -> DataFrame:
+def fill(df: DataFrame, n: Column, rule: Callable[[Column, Column], Column]) -> DataFrame:
     """Adds `r`: entry i of each vector as the rule makes it from `kept`, (i, v) in order. Vectors are coded row by row."""
-    return kept.withColumn("r", F.transform(F.sequence(F.lit(0), n - 1), rule))
+    return df.withColumn("r", let(F.col("kept"), lambda kept: F.transform(F.sequence(F.lit(0), n - 1), lambda i: rule(kept, i))))
 
 
-def _around(i: Column) -> tuple[Column, Column]:
+def _around(kept: Column, i: Column) -> tuple[Column, Column]:
     """The last kept entry at or before i, and the first one at or after it; null where there is none."""
-    return F.try_element_at(F.filter("kept", lambda e: e["i"] <= i), F.lit(-1)), F.get(F.filter("kept", lambda e: e["i"] >= i), F.lit(0))
+    return F.try_element_at(F.filter(kept, lambda e: e["i"] <= i), F.lit(-1)), F.get(F.filter(kept, lambda e: e["i"] >= i), F.lit(0))
 
 
-def linear(i: Column) -> Column:
+def linear(kept: Column, i: Column) -> Column:
     """On the line between neighbours; half the edge value outside."""
-    before, after = _around(i)
+    before, after = _around(kept, i)
     inside = F.when(before["i"] == i, before["v"]).otherwise(before["v"] + (after["v"] - before["v"]) * (i - before["i"]) / F.nullif(after["i"] - before["i"], F.lit(0)))
     return F.when(before["i"].isNull(), 0.5 * after["v"]).when(after["i"].isNull(), 0.5 * before["v"]).otherwise(inside)
 
 
-def nearest(i: Column) -> Column:
+def nearest(kept: Column, i: Column) -> Column:
     """The nearest entry over one plus the root of its distance."""
-    before, after = _around(i)
+    before, after = _around(kept, i)
     early = after["i"].isNull() | (before["i"].isNotNull() & (i - before["i"] <= after["i"] - i))
     return F.when(early, before["v"] / (1 + F.sqrt(i - before["i"]))).otherwise(after["v"] / (1 + F.sqrt(after["i"] - i)))
 
 
-def smooth_decay(i: Column) -> Column:
+def smooth_decay(kept: Column, i: Column) -> Column:
     """Weighted mean of the five nearest entries; a kept entry is itself."""
-    near = F.slice(F.array_sort(F.transform("kept", lambda e: F.struct(F.abs(e["i"] - i).alias("d"), e["v"].alias("v")))), 1, 5)
+    near = F.slice(F.array_sort(F.transform(kept, lambda e: F.struct(F.abs(e["i"] - i).alias("d"), e["v"].alias("v")))), 1, 5)
     total = lambda f: F.aggregate(near, F.lit(0.0), lambda a, e: a + f(e))
     weight = lambda e: F.exp(-0.1 * e["d"])
     return F.when(F.get(near, F.lit(0))["d"] == 0, F.get(near, F.lit(0))["v"]).otherwise(total(lambda e: weight(e) * e["v"]) / total(weight))

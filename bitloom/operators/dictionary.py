@@ -179,3 +179,27 @@ def fit_groups(tiles: DataFrame, by: str, n_atoms: int, scales: list[float], k:
         return pd.DataFrame({by: [pdf[by].iloc[0]] * len(atoms), "atom": range(len(atoms)), "x": list(atoms)})
 
     return bounded.groupBy(by).applyInPandas(run, f"{by} {dict(tiles.dtypes)[by]}, atom int, x array<double>")
+
+
+def group_errors(tiles: DataFrame, by: str, atoms: DataFrame, scales: list[float], k: int, part: int = 50_000) -> DataFrame:
+    """(by, n, nmse): tiles of each group and the mean squared remainder of their codes over the mean square of their entries.
+
+    A group's tiles are dealt into parts by hash, so that no task holds more than about `part` of them; its atoms, a
+    bounded table, go to each part.
+    """
+    parts = max(1, -(-tiles.count() // part))
+    dealt = tiles.select(by, "x", F.pmod(F.xxhash64("tile"), F.lit(parts)).alias("_part"))
+    copies = atoms.select(by, "atom", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
+
+    def run(left, right):
+        import pandas as pd
+
+        if not len(left):
+            return pd.DataFrame({by: [], "n": [], "e": [], "t": []})
+        x, a = np.stack(left["x"].to_numpy()), np.stack(right.sort_values("atom")["x"].to_numpy())
+        chosen, signs = pursue(x, a, scales, k)
+        rest = x - np.einsum("nsk,nskd->nd", np.array(scales)[None, :, None] * signs, a[chosen])
+        return pd.DataFrame({by: left[by].iloc[:1], "n": [len(x)], "e": [float((rest**2).sum())], "t": [float((x**2).sum())]})
+
+    sums = dealt.groupBy(by, "_part").cogroup(copies.groupBy(by, "_part")).applyInPandas(run, f"{by} {dict(tiles.dtypes)[by]}, n long, e double, t double")
+    return sums.groupBy(by).agg(F.sum("n").alias("n"), (F.sum("e") / F.greatest(F.sum("t"), F.lit(1e-12))).alias("nmse"))

@@ -164,6 +164,26 @@ def conv2d(x: Column, side: int, kernel: list[list[float]], padding: int = 0, st
     return F.transform(F.sequence(F.lit(0), F.lit(out_side * out_side - 1)), cell)
 
 
+def conv_transpose2d(x: Column, side: int, kernel: list[list[float]], stride: int = 1) -> Column:
+    """One channel's transposed convolution without padding: each entry adds its multiple of the kernel at its place.
+
+    An output entry sums the kernel entries that reach it from an input entry, so the row is read and nothing is scattered.
+    """
+    k = len(kernel)
+    out_side = (side - 1) * stride + k
+    weights = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(kernel[a][b])).alias("w")) for a in range(k) for b in range(k)))
+
+    def cell(o: Column) -> Column:
+        def term(acc: Column, w: Column) -> Column:
+            r, c = F.floor(o / out_side).cast("int") - w["a"], o % out_side - w["b"]
+            there = (r >= 0) & (c >= 0) & (r % stride == 0) & (c % stride == 0) & (r < side * stride) & (c < side * stride)
+            return acc + F.when(there, F.get(x, (F.floor(r / stride) * side + F.floor(c / stride)).cast("int")) * w["w"]).otherwise(0.0)
+
+        return F.aggregate(weights, F.lit(0.0), term)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(out_side * out_side - 1)), cell)
+
+
 def im2col(x: Column, side: int, k: int) -> Column:
     """Windows of k x k entries in row-major order, one array each, no padding."""
     out = side - k + 1

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitloom.operators import codecs as C
+from bitloom.operators import coding
 from bitloom.plans.registry import query
 from bitloom.sources import archive
 from bitloom.sources.tables import long_vectors, table
@@ -59,8 +60,21 @@ def delta_varint_size(spark, d):
 @query("delta_decode", "SELECT DISTINCT user_id, event_id AS pos FROM events")
 def delta_decode(spark, d):
     """Positions restored by running sums of the differences."""
+    w = W.partitionBy("user_id").orderBy("pos")
     deltas = C.deltas(table(spark, d, "events").select("user_id", F.col("event_id").alias("pos")).distinct(), ["user_id"], "pos")
-    return C.undelta(deltas.select("user_id", "delta", F.col("pos").alias("rank")), ["user_id"], "rank").select("user_id", "pos")
+    stored = deltas.select("user_id", "delta", F.row_number().over(w).alias("ordinal"))  # what a file of differences holds
+    return C.undelta(stored, ["user_id"], "ordinal").select("user_id", "pos")
+
+
+@query("varint_bytes", f"""
+    WITH t AS (SELECT DISTINCT user_id, event_id AS pos FROM events),
+    dl AS (SELECT user_id, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY user_id ORDER BY pos) AS delta FROM t)
+    SELECT user_id, pos, {"||".join(f"CASE WHEN delta >= {1 << 7 * k if k else 0} THEN printf('%02X', (delta >> {7 * k}) & 127 | CASE WHEN delta >= {1 << 7 * (k + 1)} THEN 128 ELSE 0 END) ELSE '' END" for k in range(5))} AS coded, delta AS decoded FROM dl""")
+def varint_bytes(spark, d):
+    """The bytes of each difference of a user's sorted event numbers, and what they decode to."""
+    deltas = C.deltas(table(spark, d, "events").select("user_id", F.col("event_id").alias("pos")).distinct(), ["user_id"], "pos")
+    coded = deltas.select("user_id", "pos", C.varint(F.col("delta")).alias("b"))
+    return coded.select("user_id", "pos", F.hex("b").alias("coded"), C.from_varint(F.col("b")).alias("decoded"))
 
 
 _TOP = f"{_LONG}, top AS (SELECT vec_id, i, v FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, i) <= 6)"
@@ -69,7 +83,8 @@ _TOP = f"{_LONG}, top AS (SELECT vec_id, i, v FROM v QUALIFY row_number() OVER (
 @query("topk_sparsify", f"WITH {_TOP} SELECT vec_id, i, round(v, 6) AS v FROM top")
 def topk_sparsify(spark, d):
     """A tenth of each vector's entries, largest first."""
-    return C.top_k(long_vectors(spark, d), ["vec_id"], C.active_count(F.lit(64), 0.10)).select("vec_id", "i", F.round("v", 6).alias("v"))
+    kept = C.top_k(C.packed(spark, d), C.active_count(F.lit(64), 0.10))
+    return kept.select("vec_id", F.explode("kept").alias("e")).select("vec_id", "e.i", F.round("e.v", 6).alias("v"))
 
 
 @query("topk_counts", """
@@ -96,17 +111,16 @@ _IV = f"""{_TOP}, r AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM top GROUP
 @query("index_value_roundtrip", f"WITH {_IV} SELECT vec_id, i, round(q * scale + lo, 4) AS restored, abs(q * scale + lo - v) <= scale * 1.001 AS within FROM q")
 def index_value_roundtrip(spark, d):
     """Kept entries coded with 16 bits between the vector's extremes, and restored."""
-    top = C.top_k(long_vectors(spark, d), ["vec_id"], F.lit(6))
-    coded = C.index_values(top, ["vec_id"])
-    back = F.col("q") * F.col("scale") + F.col("lo")
-    return coded.select("vec_id", "i", F.round(back, 4).alias("restored"), (F.abs(back - F.col("v")) <= F.col("scale") * 1.001).alias("within"))
+    coded = C.index_values(C.top_k(C.packed(spark, d), F.lit(6))).select("vec_id", "lo", "scale", F.explode("coded").alias("e"))
+    back = F.col("e.q") * F.col("scale") + F.col("lo")
+    return coded.select("vec_id", "e.i", F.round(back, 4).alias("restored"), (F.abs(back - F.col("e.v")) <= F.col("scale") * 1.001).alias("within"))
 
 
 @query("index_value_dense", f"""WITH {_IV} SELECT v.vec_id, v.i, round(coalesce(q.q * q.scale + q.lo, 0.0), 4) + 0.0 AS restored FROM v LEFT JOIN q ON q.vec_id = v.vec_id AND q.i = v.i""")
 def index_value_dense(spark, d):
     """The dense vectors of the coded entries, zeros elsewhere."""
-    coded = C.index_values(C.top_k(long_vectors(spark, d), ["vec_id"], F.lit(6)), ["vec_id"])
-    kept = coded.groupBy("vec_id").agg(F.collect_list(F.struct("i", (F.col("q") * F.col("scale") + F.col("lo")).alias("v"))).alias("kept"))
+    coded = C.index_values(C.top_k(C.packed(spark, d), F.lit(6)))
+    kept = coded.select("vec_id", F.transform("coded", lambda e: F.struct(e["i"].alias("i"), (e["q"] * F.col("scale") + F.col("lo")).alias("v"))).alias("kept"))
     dense = C.densify(kept, F.lit(64))
     return dense.select("vec_id", F.posexplode("dense").alias("i", "r")).select("vec_id", F.col("i").cast("long").alias("i"), (F.round("r", 4) + 0.0).alias("restored"))
 
@@ -255,9 +269,20 @@ def quant8_gemv(spark, d):
     return c.select("vec_id", F.round(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t), 6).alias("y"))
 
 
+@query("quant8_gemm", f"""WITH {_INT8}, q AS (SELECT vec_id, i, least(127, greatest(-128, {_HALF_UP.format("(v / scale)")} + zp)) - zp AS q, scale FROM v JOIN z USING (vec_id))
+    SELECT a.vec_id, a.i // 8 AS row, b.i // 8 AS col, round(sum(a.q * b.q) * any_value(a.scale * b.scale), 6) AS y FROM q a JOIN q b ON a.vec_id = b.vec_id AND a.i % 8 = b.i % 8 GROUP BY ALL""")
+def quant8_gemm(spark, d):
+    """8 x 8 matrices of 8-bit codes times their transposes: whole-number sums, scaled once."""
+    c = C.quantize_affine(C.packed(spark, d)).select("vec_id", "scale", F.transform("q", lambda q: q - F.col("zp")).alias("q"))
+    row = lambda q, r: F.slice(q, r * 8 + 1, F.lit(8))
+    cell = lambda o: F.aggregate(F.zip_with(row(F.col("q"), F.floor(o / 8).cast("int")), row(F.col("q"), o % 8), lambda a, b: a * b), F.lit(0).cast("long"), lambda s, p: s + p)
+    each = c.select("vec_id", "scale", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), cell)).alias("o", "s"))
+    return each.select("vec_id", F.floor(F.col("o") / 8).cast("long").alias("row"), (F.col("o") % 8).cast("long").alias("col"), F.round(F.col("s") * (F.col("scale") * F.col("scale")), 6).alias("y"))
+
+
 def _kept(spark, d):
     """Each vector's six largest entries as an array of (i, v), in order."""
-    return C.top_k(long_vectors(spark, d), ["vec_id"], F.lit(6)).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("kept"))
+    return C.top_k(C.packed(spark, d), F.lit(6)).select("vec_id", "kept")
 
 
 def _restored(df):
@@ -299,23 +324,35 @@ _KIND = "['METADATA_JSON', 'CONFIG', 'WEIGHTS_FP32', 'TOKENIZER_VOCAB', 'SPARSE_
 _SEG = f"seg AS (SELECT doc_id, 'seg-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS name, {_KIND} AS kind, octet_length(encode(text)) AS original_size FROM documents)"
 
 
-def _segments(spark, d, kinds=5):
+def _segments(spark, d, kinds=5, *more):
     names = ("METADATA_JSON", "CONFIG", "WEIGHTS_FP32", "TOKENIZER_VOCAB", "SPARSE_INDICES", "WEIGHTS_INT8", "ATTENTION_WEIGHTS")[:kinds]
     kind = F.get(F.array(*map(F.lit, names)), (F.col("doc_id") % kinds).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("seg-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("name"), kind.alias("kind"), F.octet_length("text").cast("long").alias("original_size"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("seg-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("name"), kind.alias("kind"), F.octet_length("text").cast("long").alias("original_size"), *more)
+
+
+#: The strategy of each segment by the rules of the codecs: adaptive coding applies to small segments and tokenizers (other
+#: texts have no zero bytes to leave out), quantization to whole 32-bit floats, runs where their pairs are fewer bytes.
+_CODED = f"""{_SEG},
+    bytes AS (SELECT doc_id, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents WHERE doc_id % 7 = 5)),
+    islands AS (SELECT doc_id, b, i - row_number() OVER (PARTITION BY doc_id, b ORDER BY i) AS g FROM bytes),
+    pairs AS (SELECT doc_id, CAST(sum((n + 254) // 255) AS BIGINT) AS pairs FROM (SELECT doc_id, count(*) AS n FROM islands GROUP BY doc_id, b, g) GROUP BY doc_id),
+    coded AS (SELECT seg.*, coalesce(pairs, 0) AS pairs, CASE
+        WHEN kind IN ('METADATA_JSON', 'CONFIG', 'TOKENIZER_VOCAB', 'SPARSE_INDICES') AND (original_size <= 1024 OR kind = 'TOKENIZER_VOCAB') THEN 1
+        WHEN kind IN ('METADATA_JSON', 'SPARSE_INDICES') THEN 0
+        WHEN kind IN ('WEIGHTS_FP32', 'ATTENTION_WEIGHTS') AND original_size > 0 AND original_size % 4 = 0 THEN 4
+        WHEN kind = 'WEIGHTS_INT8' AND 2 * coalesce(pairs, 0) < original_size THEN 2
+        ELSE 3 END AS strategy FROM seg LEFT JOIN pairs USING (doc_id))"""
 
 
-_REGISTERED = ", ".join(f"('{k}', {p}, {s})" for k, p, s in archive.REGISTERED)
-#: Which strategies succeed on a segment: sizes decide, so that chains fall through in different places.
-_WORKS = "CASE WHEN sid = 5 THEN original_size % 16 = 0 WHEN sid = 4 THEN original_size % 4 = 0 WHEN sid = 1 THEN original_size % 3 <> 0 WHEN sid = 2 THEN original_size % 2 = 0 ELSE true END"
+def _compressed(spark, d):
+    """Documents as segments of seven kinds, coded."""
+    return coding.compress(_segments(spark, d, 7, F.col("text").cast("binary").alias("data")).select("doc_id", "kind", "data"))
 
 
-@query("strategy_chain", f"""
-    WITH {_SEG}, c AS (SELECT doc_id, priority, sid FROM seg JOIN (VALUES {_REGISTERED}) r(kind, priority, sid) USING (kind) WHERE {_WORKS})
-    SELECT seg.doc_id, CAST(coalesce(arg_min(sid, priority), 0) AS INT) AS strategy FROM seg LEFT JOIN c USING (doc_id) GROUP BY seg.doc_id""")
+@query("strategy_chain", f"WITH {_CODED} SELECT doc_id, CAST(strategy AS INT) AS strategy FROM coded")
 def strategy_chain(spark, d):
-    """The first strategy in priority order that works, raw storage if none does."""
-    return archive.choose_strategy(_segments(spark, d, 7), archive.works_by_size).select("doc_id", "strategy")
+    """The first strategy in priority order whose coded bytes are accepted, raw storage if none are."""
+    return _compressed(spark, d).select("doc_id", "strategy")
 
 
 @query("archive_offsets", f"WITH {_SEG} SELECT name, original_size, CAST(sum(original_size) OVER (ORDER BY name) - original_size AS BIGINT) AS place FROM seg")
@@ -325,14 +362,21 @@ def archive_offsets(spark, d):
 
 
 @query("size_by_strategy", f"""
-    WITH {_SEG}, c AS (SELECT doc_id, priority, sid FROM seg JOIN (VALUES {_REGISTERED}) r(kind, priority, sid) USING (kind) WHERE {_WORKS}),
-    p AS (SELECT seg.doc_id, any_value(kind) AS kind, any_value(original_size) AS n, CAST(coalesce(arg_min(sid, priority), 0) AS INT) AS strategy FROM seg LEFT JOIN c USING (doc_id) GROUP BY seg.doc_id)
-    SELECT kind, strategy, count(*) AS segments, CAST(sum(n) AS BIGINT) AS bytes, round(sum(n) / sum(n // (1 + strategy))::DOUBLE, 6) AS ratio FROM p GROUP BY kind, strategy""")
+    WITH {_CODED} SELECT kind, CAST(strategy AS INT) AS strategy, count(*) AS segments, CAST(sum(original_size) AS BIGINT) AS bytes,
+        CAST(sum(CASE strategy WHEN 0 THEN original_size WHEN 1 THEN original_size + 1 WHEN 2 THEN 2 * pairs WHEN 4 THEN original_size // 4 + 8 END) AS BIGINT) AS stored_bytes FROM coded GROUP BY kind, strategy""")
 def size_by_strategy(spark, d):
-    """Segments, bytes and compression ratio by kind and strategy."""
-    p = archive.choose_strategy(_segments(spark, d, 7), archive.works_by_size)
-    small = F.floor(F.col("original_size") / (1 + F.col("strategy")))
-    return p.groupBy("kind", "strategy").agg(F.count(F.lit(1)).alias("segments"), F.sum("original_size").alias("bytes"), F.round(F.sum("original_size") / F.sum(small), 6).alias("ratio"))
+    """Segments, bytes and stored bytes by kind and strategy, as coded; gzip's sizes, which SQL can not tell, are left out."""
+    stored = F.when(F.col("strategy") != archive.GZIP, F.octet_length("data"))
+    return _compressed(spark, d).groupBy("kind", "strategy").agg(F.count(F.lit(1)).alias("segments"), F.sum("original_size").alias("bytes"), F.sum(stored).cast("long").alias("stored_bytes"))
+
+
+@query("archive_roundtrip")
+def archive_roundtrip(spark, d):
+    """Every lossless segment through coding and back: sizes and whether the bytes are the same."""
+    coded = _compressed(spark, d).filter(F.col("strategy") != archive.QUANT).withColumn("stored_size", F.octet_length("data"))
+    back = coding.decompress(coded.withColumn("size", F.col("original_size"))).select("doc_id", "size", "stored_size", F.sha2("data", 256).alias("sha"))
+    texts = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("want"))
+    return back.join(texts, "doc_id").select("doc_id", "size", "stored_size", (F.col("sha") == F.col("want")).alias("same"))
 
 
 @query("largest_segments", f"WITH {_SEG} SELECT name, kind, original_size FROM seg ORDER BY original_size DESC, name LIMIT 25")

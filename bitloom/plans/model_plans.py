@@ -172,7 +172,7 @@ def dictionary_suitable(spark, d):
 @query("protect_boundary", f"WITH {_NAMES} SELECT p_partkey, (contains(lower(name), 'mlp') OR contains(lower(name), 'ffn') OR contains(lower(name), 'feed_forward')) AND (depth < 3 OR depth >= 19) AS protected, name IN ('lm_head', 'output.weight') AS by_name FROM n")
 def protect_boundary(spark, d):
     """Feed-forward tensors at the first and last three of 22 depths, and tensors protected by name."""
-    return _names(spark, d).select("p_partkey", M.protected(F.col("name"), F.col("depth"), 3, 22).alias("protected"), F.col("name").isin("lm_head", "output.weight").alias("by_name"))
+    return _names(spark, d).select("p_partkey", M.protected(F.col("name"), F.col("depth"), 3, 22).alias("protected"), M.named(F.col("name"), ["lm_head", "output.weight"]).alias("by_name"))
 
 
 @query("role_config", f"WITH {_NAMES} SELECT CASE WHEN contains(lower(name), 'mlp') OR contains(lower(name), 'ffn') THEN 512 ELSE 256 END AS atoms, CASE WHEN contains(lower(name), 'mlp') OR contains(lower(name), 'ffn') THEN 8 ELSE 5 END AS active, count(*) AS tensors, CAST(sum(p_size) AS BIGINT) AS tiles FROM n GROUP BY ALL")
@@ -184,13 +184,17 @@ def role_config(spark, d):
     return n.groupBy(F.when(mlp, ma).otherwise(oa).alias("atoms"), F.when(mlp, mk).otherwise(ok).alias("active")).agg(F.count(F.lit(1)).alias("tensors"), F.sum("p_size").cast("long").alias("tiles"))
 
 
-@query("layer_metadata", """
-    WITH m AS (SELECT p_partkey, 'type ' || ['conv', 'Linear', 'gemm', 'attention', 'layer_norm', 'pool', 'swish', 'custom'][p_partkey % 8 + 1] || ' kernel ' || p_size % 5 || ' stride 2' AS s FROM part),
+#: Every name that a layer description may hold, and one that none does.
+_WRITTEN = (*M.LAYER_TYPES, "Custom")
+
+
+@query("layer_metadata", f"""
+    WITH m AS (SELECT p_partkey, 'type ' || [{", ".join(f"'{w}'" for w in _WRITTEN)}][p_partkey % {len(_WRITTEN)} + 1] || ' kernel ' || p_size % 5 || ' stride 2' AS s FROM part),
     k AS (SELECT p_partkey, string_split(s, ' ') AS w FROM m)
-    SELECT p_partkey, coalesce(map {'conv': 'CONV2D', 'linear': 'LINEAR', 'gemm': 'LINEAR', 'attention': 'ATTENTION', 'layer_norm': 'NORM', 'pool': 'POOLING', 'swish': 'Silu'}[lower(w[2])], w[2]) AS layer_type, CAST(w[4] AS INT) AS kernel, CAST(w[6] AS INT) AS stride FROM k""")
+    SELECT p_partkey, coalesce(map {{{", ".join(f"'{k}': '{v}'" for k, v in M.LAYER_TYPES.items())}}}[lower(w[2])], w[2]) AS layer_type, CAST(w[4] AS INT) AS kernel, CAST(w[6] AS INT) AS stride FROM k""")
 def layer_metadata(spark, d):
-    """Layer descriptions of keys and values."""
-    kind = F.get(F.array(*map(F.lit, ("conv", "Linear", "gemm", "attention", "layer_norm", "pool", "swish", "custom"))), (F.col("p_partkey") % 8).cast("int"))
+    """Layer descriptions of keys and values, with every layer name."""
+    kind = F.get(F.array(*map(F.lit, _WRITTEN)), (F.col("p_partkey") % len(_WRITTEN)).cast("int"))
     text = F.concat(F.lit("type "), kind, F.lit(" kernel "), F.col("p_size") % 5, F.lit(" stride 2"))
     pairs = F.str_to_map(F.regexp_replace(text, r"([^ ]+) ([^ ]+)( |$)", "$1=$2;"), F.lit(";"), F.lit("="))
     m = table(spark, d, "part").select("p_partkey", pairs.alias("m"))

@@ -170,8 +170,9 @@ def sparse_linear(spark, d):
     """Flat indices of kept weights as (row, column) of an 8 x 8 layer, with a bias for each row that is reached."""
     from bitloom.operators.codecs import top_k
 
-    kept = top_k(long_vectors(spark, d), ["vec_id"], F.lit(16)).withColumn("row", F.floor(F.col("i") / 8).cast("long"))
-    return kept.groupBy("vec_id", "row").agg(F.sum(F.col("v") * ((F.col("i") % 8) + 1)).alias("s")).select("vec_id", "row", F.round(F.col("s") + F.col("row") * 0.5, 6).alias("y"))
+    kept = top_k(vectors(spark, d), F.lit(16)).select("vec_id", F.explode("kept").alias("e"))
+    kept = kept.select("vec_id", F.floor(F.col("e.i") / 8).cast("long").alias("row"), (F.col("e.v") * ((F.col("e.i") % 8) + 1)).alias("p"))
+    return kept.groupBy("vec_id", "row").agg(F.sum("p").alias("s")).select("vec_id", "row", F.round(F.col("s") + F.col("row") * 0.5, 6).alias("y"))
 
 
 @query("block_matvec", f"""WITH {_LONG} SELECT vec_id, i // 32 AS block_row, (i % 8) // 4 AS block_col, round(sum(v * ((i % 4) + 1)), 6) AS y FROM v GROUP BY ALL""")
@@ -192,6 +193,15 @@ def _pool(name, kind, agg):
 _pool("maxpool2x2", "max", "max")
 _pool("avgpool2x2", "avg", "avg")
 
+
+
+@query("global_avgpool", f"WITH {_LONG} SELECT vec_id, i // 16 AS channel, round(avg(v), 6) + 0.0 AS v FROM v GROUP BY ALL")
+def global_avgpool(spark, d):
+    """The mean of each of four 4 x 4 channels."""
+    means = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: total(F.slice("x", c * 16 + 1, F.lit(16))) / 16)
+    return vectors(spark, d).select("vec_id", F.posexplode(means).alias("channel", "v")).select("vec_id", F.col("channel").cast("long").alias("channel"), (F.round("v", 6) + 0.0).alias("v"))
+
+
 _EDGE = [[0.0, 1.0, 0.0], [1.0, -4.0, 1.0], [0.0, 1.0, 0.0]]
 _SOBEL = [[-1.0, 0.0, 1.0], [-2.0, 0.0, 2.0], [-1.0, 0.0, 1.0]]
 _kernel_sql = lambda k: ", ".join(f"({a}, {b}, {k[a][b]}::DOUBLE)" for a in range(3) for b in range(3))
@@ -211,6 +221,13 @@ def conv3x3_stride2(spark, d):
     return _out(vectors(spark, d), X.conv2d(F.col("x"), 8, _SOBEL, stride=2), "vec_id")
 
 
+@query("conv_transpose", f"""WITH {_LONG}, k(a, b, w) AS (VALUES {_kernel_sql(_SOBEL)})
+    SELECT vec_id, (2 * (i // 8) + a) * 17 + 2 * (i % 8) + b AS i, round(sum(v * w), 6) + 0.0 AS v FROM v, k GROUP BY vec_id, (2 * (i // 8) + a) * 17 + 2 * (i % 8) + b""")
+def conv_transpose(spark, d):
+    """Transposed 3 x 3 convolution at stride 2: 8 x 8 images become 17 x 17."""
+    return _out(vectors(spark, d), X.conv_transpose2d(F.col("x"), 8, _SOBEL, stride=2), "vec_id")
+
+
 def _channels(n):
     """(vec_id, channel, x): the 64 entries as n images."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.struct(c.alias("channel"), F.slice("x", c * (64 // n) + 1, F.lit(64 // n)).alias("x")))
@@ -337,14 +354,58 @@ def silu_gate(spark, d):
     return _out(vectors(spark, d), F.zip_with(half(0), half(1), lambda a, b: X.silu(a) * b), "vec_id")
 
 
-@query("decoder_block", f"""WITH {_LONG}, n AS (SELECT vec_id, i, v, v / sqrt(avg(v * v) OVER (PARTITION BY vec_id) + 1e-5) AS x FROM v),
-    g AS (SELECT a.vec_id, a.i, a.x / (1 + exp(-a.x)) * b.x AS u FROM n a JOIN n b ON a.vec_id = b.vec_id AND b.i = a.i + 32)
-    SELECT n.vec_id, n.i, round(n.v + coalesce(g.u, 0.0), 5) + 0.0 AS v FROM n LEFT JOIN g ON g.vec_id = n.vec_id AND g.i = n.i""")
+_MATRIX = "list_transform(range({n}), lambda i: ((i * {a} + j * {b} + {c}) % 7 - 3) / 16.0::DOUBLE)"
+
+
+def _project_sql(x, rows, cols, a, b, c):
+    """A list of the products of a row with the rows of a rule's matrix."""
+    return f"list_transform(range({rows}), lambda j: list_dot_product({x}, {_MATRIX.format(n=cols, a=a, b=b, c=c)}))"
+
+
+def _rotated_sql(x, n):
+    turn = "pos * pow(1000000.0::DOUBLE, -(2 * ((j % 4) // 2)) / 4.0::DOUBLE)"
+    return f"list_transform(range({n}), lambda j: CASE WHEN j % 2 = 0 THEN {x}[j + 1] * cos({turn}) - {x}[j + 2] * sin({turn}) ELSE {x}[j] * sin({turn}) + {x}[j + 1] * cos({turn}) END)"
+
+
+_NORM_SQL = "list_transform(range(16), lambda j: {0}[j + 1] / sqrt(list_dot_product({0}, {0}) / 16 + 1e-5) * (1 + j % 3 * 0.1::DOUBLE))"
+
+
+@query("decoder_block", f"""
+    WITH s AS (SELECT vec_id // 16 AS block, vec_id, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1 AS pos, embedding[1:16]::DOUBLE[] AS x FROM embeddings),
+    n AS (SELECT *, {_NORM_SQL.format("x")} AS n FROM s),
+    p AS (SELECT *, {_project_sql("n", 16, 16, 3, 5, 0)} AS q, {_project_sql("n", 8, 16, 5, 2, 1)} AS k, {_project_sql("n", 8, 16, 2, 3, 2)} AS v FROM n),
+    r AS (SELECT block, vec_id, pos, {_rotated_sql("q", 16)} AS q, {_rotated_sql("k", 8)} AS k, v FROM p),
+    e AS (SELECT a.vec_id, h, exp(list_dot_product(a.q[h * 4 + 1:h * 4 + 4], b.k[h // 2 * 4 + 1:h // 2 * 4 + 4]) / 2) AS w, b.v[h // 2 * 4 + 1:h // 2 * 4 + 4] AS v
+        FROM r a JOIN r b ON a.block = b.block AND b.pos <= a.pos, (SELECT CAST(unnest(range(4)) AS INT) AS h)),
+    c AS (SELECT vec_id, h, CAST(i AS INT) AS i, sum(w * v[i + 1]) / sum(w) AS v FROM e, (SELECT CAST(unnest(range(4)) AS INT) AS i) GROUP BY ALL),
+    o AS (SELECT vec_id, list(v ORDER BY h, i) AS o FROM c GROUP BY vec_id),
+    m AS (SELECT s.block, s.vec_id, list_transform(list_zip(x, {_project_sql("o", 16, 16, 4, 3, 3)}), lambda z: z[1] + z[2]) AS y FROM s JOIN o USING (vec_id)),
+    f AS (SELECT *, {_NORM_SQL.format("y")} AS n FROM m),
+    g AS (SELECT *, {_project_sql("n", 24, 16, 2, 5, 4)} AS gate, {_project_sql("n", 24, 16, 3, 2, 5)} AS up FROM f),
+    u AS (SELECT *, list_transform(list_zip(gate, up), lambda z: z[1] / (1 + exp(-z[1])) * z[2]) AS u FROM g),
+    d AS (SELECT block, vec_id, list_transform(list_zip(y, {_project_sql("u", 16, 24, 5, 3, 6)}), lambda z: z[1] + z[2]) AS z FROM u)
+    SELECT block, vec_id, CAST(generate_subscripts(z, 1) - 1 AS BIGINT) AS i, round(unnest(z), 5) + 0.0 AS v FROM d""")
 def decoder_block(spark, d):
-    """Root-mean-square norm, gated feed-forward on the halves, and the residual."""
-    half = lambda x, k: F.slice(x, k * 32 + 1, 32)
-    gated = let(X.rms_norm(F.col("x")), lambda n: F.zip_with(half(n, 0), half(n, 1), lambda a, b: X.silu(a) * b))
-    return _out(vectors(spark, d), F.zip_with("x", F.concat(gated, F.array_repeat(F.lit(0.0), 32)), lambda a, u: a + u), "vec_id", digits=5)
+    """Sequences of 16 vectors through a whole block: norm, four query and two key heads with rotary positions, causal
+    attention, output projection, residual, norm, gated feed-forward, residual."""
+    from bitloom.operators import decoder
+
+    x = vectors(spark, d).select(F.floor(F.col("vec_id") / 16).alias("block"), "vec_id", F.slice("x", 1, 16).alias("x"))
+    return _out(decoder.run(x, "block", "vec_id", [decoder_weights()]), F.col("out"), "block", "vec_id", digits=5)
+
+
+def decoder_weights():
+    """A small block whose weights are a rule."""
+    import numpy as np
+
+    from bitloom.operators import decoder
+
+    def matrix(rows, cols, a, b, c):
+        j, i = np.meshgrid(np.arange(rows), np.arange(cols), indexing="ij")
+        return ((i * a + j * b + c) % 7 - 3) / 16
+
+    norm = 1 + np.arange(16) % 3 * 0.1
+    return decoder.Block(norm, matrix(16, 16, 3, 5, 0), matrix(8, 16, 5, 2, 1), matrix(8, 16, 2, 3, 2), matrix(16, 16, 4, 3, 3), norm, matrix(24, 16, 2, 5, 4), matrix(24, 16, 3, 2, 5), matrix(16, 24, 5, 3, 6), 4)
 
 
 _QUERY_ROW = "q AS (SELECT i, avg(v) AS h FROM v GROUP BY i)"
@@ -462,8 +523,9 @@ def boundary_fit(spark, d):
 
 @query("dictionary_fit_groups")
 def dictionary_fit_groups(spark, d):
-    """One dictionary for each label (iterative; tested on its error)."""
+    """One dictionary for each label, and what its codes leave of all the label's vectors (iterative; tested on its error)."""
     from bitloom.operators import dictionary as D
 
     x = vectors(spark, d).select(F.col("vec_id").alias("tile"), "label", "x")
-    return D.fit_groups(x, "label", 16, D.gammas(2), 3, 4).select("label", "atom", F.size("x").alias("width"))
+    atoms = D.fit_groups(x, "label", 16, D.gammas(2), 3, 4)
+    return D.group_errors(x, "label", atoms, D.gammas(2), 3)

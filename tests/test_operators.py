@@ -1,6 +1,7 @@
 """Dictionary codes, layer graphs, sources and streams."""
 
 import gzip
+import random
 
 import numpy as np
 import pytest
@@ -215,3 +216,74 @@ def test_turns_decode_by_the_whole_vocabulary_with_marks_and_numbers(spark, tmp_
         n = int(text[1:])
         assert got[conv, turn] == f"w{n + 1250 if n + 1250 < 2000 else n:04d}"
     assert got[3, 0] == "w1253 w1900 ! ( ) , - 10 990" and (4, 0) not in got
+
+
+def test_decoder_steps_equal_prefill_and_plain_attention(spark):
+    from bitloom.operators import decoder
+    from bitloom.plans.tensor_plans import decoder_weights
+
+    r = np.random.default_rng(4)
+    x, blocks = r.normal(size=(20, 16)), [decoder_weights(), decoder_weights()]
+    whole, _ = decoder.prefill(x, blocks)
+    some, caches = decoder.prefill(x[:12], blocks)
+    rest = []
+    for i in range(12, 20):
+        y, caches = decoder.step(x[i : i + 1], blocks, caches)
+        rest.append(y)
+    assert np.allclose(whole, np.concatenate([some, *rest]))
+    q, k, v = r.normal(size=(9, 4, 6)), r.normal(size=(9, 2, 6)), r.normal(size=(9, 2, 6))
+    plain = np.zeros_like(q)
+    for t in range(9):
+        for h in range(4):
+            w = np.exp(k[: t + 1, h // 2] @ q[t, h] / np.sqrt(6))
+            plain[t, h] = w / w.sum() @ v[: t + 1, h // 2]
+    for tile in (1, 2, 4, 256):
+        assert np.allclose(decoder.attend(q, k, v, 0, tile), plain)
+
+
+def test_segment_codecs_round_trip():
+    from bitloom.operators import coding
+
+    r = random.Random(2)
+    texts = [b"", b"a", b"a" * 256, b"ab" * 700, bytes(3000), bytes(r.randrange(3) for _ in range(2000)), bytes(500) + b"x" * 5 + bytes(2000), "é".encode() * 900]
+    for data in texts:
+        assert coding.from_rle(coding.rle(data)) == data
+        for kind in ("CONFIG", "TOKENIZER_VOCAB", "SPARSE_INDICES", "WEIGHTS_INT8", "METADATA_JSON", "OTHER"):
+            sid, coded = coding.encode(data, kind)
+            assert coding.decode(sid, coded) == data
+    assert coding.rle(b"\1" * 300 + b"\2") == bytes([255, 1, 45, 1, 1, 2])
+    assert coding.from_varints(coding.varints(np.array([0, 127, 128, 16384, 2**34]))) == [0, 127, 128, 16384, 2**34]
+    assert coding.encode(bytes(3000), "SPARSE_INDICES")[0] == coding.ADAPTIVE and len(coding.encode(bytes(3000), "SPARSE_INDICES")[1]) < 20
+    assert coding.encode(b"q" * 2000, "OTHER") == (coding.RAW, b"q" * 2000) and gzip.decompress(coding.encode(b"cd" * 2000, "CONFIG")[1]) == b"cd" * 2000
+    x = np.array([0.5, -1.0, 0.25, 0.0], dtype="<f4")
+    sid, coded = coding.encode(x.tobytes(), "WEIGHTS_FP32")
+    assert sid == coding.QUANT and np.abs(np.frombuffer(coding.decode(sid, coded), "<f4") - x).max() <= 0.5 / 127 + 1e-6
+    assert coding.encode(np.array([np.nan], "<f4").tobytes(), "WEIGHTS_FP32")[0] == coding.GZIP
+
+
+def test_archive_stores_coded_segments_and_reads_them_back(spark, tmp_path):
+    at = f"file://{tmp_path}/coded"
+    rows = [("zeros", "WEIGHTS_INT8", bytearray(4000)), ("words", "CONFIG", bytearray(b"key = value\n" * 300)), ("other", "UNKNOWN", bytearray(b"\1\2\3")), ("gone", "CONFIG", None)]
+    archive.write(spark.createDataFrame(rows, "name string, kind string, data binary"), at)
+    index = {r["name"]: r for r in archive.read_index(spark, at).collect()}
+    assert {n: x["strategy"] for n, x in index.items()} == {"zeros": archive.RLE, "words": archive.GZIP, "other": archive.RAW, "gone": None}
+    assert all(index[n]["stored_size"] < index[n]["original_size"] for n in ("zeros", "words"))
+    back = {r["name"]: r["data"] and bytes(r["data"]) for r in archive.read(spark, at).collect()}
+    assert back == {n: None if d is None else bytes(d) for n, _, d in rows}
+    assert [r["strategy"] for r in archive.read(spark, at, names=["zeros"], raw=True).collect()] == [archive.RLE]
+
+
+def test_layer_types_and_transposed_convolution(spark):
+    from bitloom.functions import models as M
+    from bitloom.operators import tensors as X
+
+    written = ["flatten", "Concat", "slice", "gather", "sub", "mul", "DIV", "maxpool", "avgpool", "averagepool", "globalaveragepool", "odd"]
+    df = spark.createDataFrame([(w,) for w in written], "w string").select(M.layer_type(F.col("w")).alias("t"))
+    assert [r["t"] for r in df.collect()] == ["Flatten", "Concat", "Slice", "Gather", "Sub", "Mul", "Div", "MaxPool", "AveragePool", "AveragePool", "GlobalAveragePool", "odd"]
+    image, kernel = np.arange(9.0).reshape(3, 3), np.array([[1.0, 2.0], [-1.0, 0.5]])
+    want = np.zeros((8, 8))
+    for y in range(3):
+        for z in range(3):
+            want[3 * y : 3 * y + 2, 3 * z : 3 * z + 2] += image[y, z] * kernel
+    got = spark.createDataFrame([(image.ravel().tolist(),)], "x array<double>").select(X.conv_transpose2d(F.col("x"), 3, kernel.tolist(), 3).alias("y")).first()["y"]
+    assert np.allclose(np.array(got).reshape(8, 8), want)
