@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import per_row, whole_text
 
 #: Words that a worker remembers at most; the memory is emptied when full. Results do not depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Longer words are encoded without being remembered.
 CACHE_LENGTH = 48
 
