@@ -1,26 +1,31 @@
 """URL filters: allow and block rules, and character language models for the URLs that no rule decides.
 
-Two smoothed variable-order Markov models (contexts of 3, 2, 1 and 0 characters, Witten-Bell interpolation; contexts
-seen less than MIN_CONTEXT times fall back to shorter ones) are counted over all URLs that a rule allows and that a rule
-blocks. A URL is judged by the difference of its log-likelihoods per character. The cut is calibrated for the best
-balanced accuracy on a hash fold of the ruled URLs that is kept out of the counts.
-
-The alphabet has ALPHABET symbols, so counts are at most 2 x ALPHABET^4 numbers whatever the input: that bounds what is
-sent to the driver and from there to the workers.
+Two smoothed variable-order Markov models (contexts of ORDER down to 0 bytes, Witten-Bell interpolation; contexts seen
+less than MIN_CONTEXT times fall back to shorter ones) are counted over all URLs that a rule allows and that a rule
+blocks. A URL is judged by the difference of its log-likelihoods per byte. The cut is calibrated for the best balanced
+accuracy on a hash fold of the ruled URLs that is kept out of the counts.
+
+A gram is a byte with its context, in one 64-bit number. The counts are a distributed table with a row per gram of the
+input, so they grow with it, and the shorter grams are sums of the longer ones. A context has at most 256 rows in its
+table, and a gram of one level at most 256 in the next, so neither the windows nor the joins of the levels meet a hot key.
+For scoring, the grams that make up more than one in HOT of all places, of which there can be no more than HOT, go to the
+tasks as an array; the places of all others, which are no hot keys for the same reason, are joined with the table.
+Differences are integers, so that their sums do not depend on the order.
 
 Defined results: a null URL or one without "://" has an empty host and path and no rule; the models judge it by its
-characters, and a null or empty one, without characters, is allowed; so is everything where rules leave no URLs of
-both kinds to learn from. Repeated rows count and are judged each; a null page_id is judged like any other; an empty
-table gives an empty result. Columns other than page_id and url are not read.
+bytes, and a null or empty one, without bytes, is allowed; so is everything where rules leave no URLs of both kinds to
+learn from. Repeated rows count and are judged each; a null page_id is judged like any other; an empty table gives an
+empty result; URLs of any length are read whole. Columns other than page_id and url are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import materialise
@@ -28,22 +33,18 @@ from bitloom.llm.common import materialise
 #: (host and path of the rule, verdict).
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
-_SYMBOLS = "abcdefghijklmnopqrstuvwxyz-._~/?#=&%:+@,"
-#: Start, one symbol for all digits, one for all other bytes, and the symbols above.
-ALPHABET = 3 + len(_SYMBOLS)
-ORDER = 3
+#: Bytes of the longest context: with the byte that follows it, a gram fills a 64-bit number.
+ORDER = 7
 MIN_CONTEXT = 2
 #: One in FOLDS ruled URLs calibrates the cut.
 FOLDS = 5
-#: Bins of the calibration: score per character times this, cut at +-BINS.
+#: Grams that are sent to the tasks at most, 16 bytes each.
+HOT = 100_000
+#: Bytes of URLs that a task takes at once, and units of a log-likelihood.
+SLICE_BYTES, UNIT = 1 << 20, 1_000_000_000
+#: Bins of the calibration: score per byte times this, cut at +-BINS.
 BINS_PER_UNIT, BINS = 100, 1000
 
-_CODE = np.full(256, 2, dtype=np.int64)
-_CODE[ord("0") : ord("9") + 1] = 1
-for _i, _c in enumerate(_SYMBOLS):
-    _CODE[ord(_c)] = 3 + _i
-    _CODE[ord(_c.upper())] = 3 + _i
-
 
 def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, url, host, path, rule and ruled (the rule's verdict) of each page; the longest fitting rule counts."""
@@ -63,118 +64,113 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return parts.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
 
 
-def _codes(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The code of each character with its context, and where each URL's codes end."""
+def grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each byte of the URLs, A-Z as a-z and zeros before the start, and the length of each URL."""
     n = np.array([len(u) for u in urls], dtype=np.int64)
-    if not n.sum():
-        return np.empty(0, dtype=np.int64), np.cumsum(n)
-    start = bytes(ORDER)
-    raw = np.frombuffer(b"".join(start + u for u in urls), dtype=np.uint8)
-    symbols = _CODE[raw]
-    heads = np.concatenate(([0], np.cumsum(n + ORDER)[:-1]))
-    for k in range(ORDER):
-        symbols[heads + k] = 0
-    codes = np.zeros(len(symbols), dtype=np.int64)
+    raw = np.frombuffer(b"".join(bytes(ORDER) + u.lower() for u in urls), dtype=np.uint8).astype(np.uint64)
+    codes = np.zeros(len(raw), dtype=np.uint64)
     for k in range(ORDER, -1, -1):
-        codes = codes * ALPHABET + np.concatenate((np.zeros(k, dtype=np.int64), symbols[: len(symbols) - k]))
-    keep = np.ones(len(symbols), dtype=bool)
+        codes[k:] = (codes[k:] << np.uint64(8)) | raw[: len(raw) - k]
+    heads = np.cumsum(n + ORDER) - n - ORDER
+    inside = np.ones(len(raw), dtype=bool)
     for k in range(ORDER):
-        keep[heads + k] = False
-    return codes[keep], np.cumsum(n)
+        inside[heads + k] = False
+    return codes[inside].view(np.int64), n
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SLICE_BYTES of their first column; a longer value is a part of its own."""
+    for batch in batches:
+        sizes = np.cumsum([len(u) for u in batch.column(0).to_pylist()])
+        at = 0
+        while at < batch.num_rows:
+            done = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
-def counts(ruled: DataFrame) -> DataFrame:
-    """(allowed, code, n): how often each character follows each context, over all rows of (url, allowed)."""
-    size = ALPHABET ** (ORDER + 1)
+def counts(urls: DataFrame) -> DataFrame:
+    """(gram, a, b, n): how often each gram occurs in the URLs of side 1 (a), of side 0 (b) and in all, over all rows of (url, side)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {}
-        for batch in batches:
-            allowed = np.array(batch.column(1).to_pylist(), dtype=bool)
-            urls = batch.column(0).to_pylist()
-            for side in (False, True):
-                codes, _ = _codes([urls[i] for i in np.flatnonzero(allowed == side)])
-                if len(codes):
-                    seen, n = np.unique(codes, return_counts=True)
-                    held.setdefault(side, np.zeros(size, dtype=np.int64))[seen] += n
-        for side, table in held.items():
-            seen = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), side)), pa.array(seen), pa.array(table[seen])], names=["allowed", "code", "n"])
-
-    each = ruled.select(F.col("url").cast("binary"), "allowed").mapInArrow(run, "allowed boolean, code long, n long")
-    return each.groupBy("allowed", "code").agg(F.sum("n").alias("n"))
-
-
-def log_probabilities(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log P(character | context) for every code, from the counts of the codes that occur."""
-    table = np.zeros(ALPHABET ** (ORDER + 1))
-    table[seen] = n
-    table = table.reshape([ALPHABET] * (ORDER + 1))
-    p = None
-    for k in range(ORDER + 1):
-        here = table.sum(axis=tuple(range(ORDER - k)))  # contexts of k characters
-        total, kinds = here.sum(-1, keepdims=True), (here > 0).sum(-1, keepdims=True)
-        if p is None:
-            p = (here + 1) / (total + ALPHABET)
-            continue
-        known = (total >= MIN_CONTEXT) & (kinds > 0)
-        p = np.where(known, (here + kinds * p) / np.maximum(total + kinds, 1), p)
-    return np.log(p).ravel()
-
-
-class Models:
-    """The two models as sparse counts; the dense table is built where it is used."""
-
-    def __init__(self, allowed: tuple[np.ndarray, np.ndarray], blocked: tuple[np.ndarray, np.ndarray], cut: float = 0.0):
-        self.allowed, self.blocked, self.cut = allowed, blocked, cut
-
-    def ready(self) -> bool:
-        return bool(len(self.allowed[0]) and len(self.blocked[0]))
-
-    def table(self) -> np.ndarray:
-        return (log_probabilities(*self.allowed) - log_probabilities(*self.blocked)).astype(np.float32)
-
-    @staticmethod
-    def scores(urls: list[bytes], table: np.ndarray) -> np.ndarray:
-        """Log-likelihood difference per character; 0 for an empty URL."""
-        codes, ends = _codes(urls)
-        sums = np.concatenate(([0.0], np.cumsum(table[codes], dtype=np.float64)))
-        n = np.diff(np.concatenate(([0], ends)))
-        return (sums[ends] - sums[ends - n]) / np.maximum(n, 1)
-
-
-def _scored(rows: DataFrame, models: Models) -> DataFrame:
-    """Adds `score` to rows that have a url column (kept as it is)."""
-    at = rows.columns.index("url")
+        for part in _slices(batches):
+            codes, n = grams(part.column(0).to_pylist())
+            side = np.repeat(part.column(1).to_numpy(), n)
+            seen, at = np.unique(codes, return_inverse=True)
+            each = [np.bincount(at, weights=w, minlength=len(seen)).astype(np.int64) for w in (side == 1, side == 0, np.ones(len(side)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (seen, *each)], names=["gram", "a", "b", "n"])
+
+    found = urls.select(F.col("url").cast("binary"), F.col("side").cast("int")).mapInArrow(run, "gram long, a long, b long, n long")
+    return found.groupBy("gram").agg(*(F.sum(c).alias(c) for c in "abn"))
+
+
+def log_ratios(counted: DataFrame) -> DataFrame:
+    """(gram, ratio, n): log P(byte | context) on side 1 less that on side 0, in UNITs, of every gram of a materialised table of counts."""
+    levels = [counted]
+    for k in range(ORDER - 1, -1, -1):
+        shorter = levels[0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(*(F.sum(c).alias(c) for c in "abn"))
+        levels.insert(0, materialise(shorter, f"url-grams-{k}"))
+    context = Window.partitionBy("context")
+
+    def totals(level: DataFrame) -> DataFrame:
+        at = level.withColumn("context", F.shiftrightunsigned("gram", 8))
+        both = [f(c).over(context).alias(f"{name}_{c}") for c in "ab" for name, f in (("total", F.sum), ("kinds", lambda c: F.sum((F.col(c) > 0).cast("long"))))]
+        return at.select("gram", "a", "b", "n", *both)
+
+    def longer(known: DataFrame, k: int) -> DataFrame:
+        back = known.select(F.col("gram").alias("back"), F.col("p_a").alias("back_a"), F.col("p_b").alias("back_b"))
+        here = totals(levels[k])
+        met = here.join(back, here["gram"].bitwiseAND(F.lit((1 << 8 * k) - 1)) == back["back"])
+        p = [F.when(F.col(f"total_{c}") >= MIN_CONTEXT, (F.col(c) + F.col(f"kinds_{c}") * F.col(f"back_{c}")) / (F.col(f"total_{c}") + F.col(f"kinds_{c}"))).otherwise(F.col(f"back_{c}")) for c in "ab"]
+        return met.select("gram", "n", p[0].alias("p_a"), p[1].alias("p_b"))
+
+    base = totals(levels[0]).select("gram", "n", *(((F.col(c) + 1) / (F.col(f"total_{c}") + 256)).alias(f"p_{c}") for c in "ab"))
+    top = reduce(longer, range(1, ORDER + 1), base)
+    return top.select("gram", F.round((F.log("p_a") - F.log("p_b")) * UNIT).cast("long").alias("ratio"), "n")
+
+
+def url_sums(urls: DataFrame, ratios: DataFrame, places: int) -> DataFrame:
+    """(row, total, places): the sum of the ratios over each URL's grams, from (url, row) and a materialised table of ratios."""
+    often = f"n > {places // HOT}"
+    common = ratios.filter(often).select("gram", "ratio").orderBy("gram").toArrow()
+    keys, values = common.column("gram").to_numpy(), common.column("ratio").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = models.table() if models.ready() else None
-        for batch in batches:
-            urls = [u.encode("utf-8") for u in batch.column(at).to_pylist()]
-            score = Models.scores(urls, table) if table is not None else np.zeros(len(urls))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
-
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", score double")
-
-
-def fit(ruled: DataFrame) -> Models:
-    """Counts the models over all ruled URLs and calibrates the cut on the fold that is left out."""
-    known = ruled.filter("ruled IS NOT NULL").select("url", (F.col("ruled") == "allow").alias("allowed"), (F.crc32(F.col("url").cast("binary")) % FOLDS == 0).alias("held"))
-    found = counts(known.filter("NOT held")).toArrow()
-    allowed, code, n = (found.column(i).to_numpy() for i in range(3))
-    sides = []
-    for side in (True, False):
-        at = np.flatnonzero(allowed == side)
-        at = at[np.argsort(code[at])]
-        sides.append((code[at].astype(np.int64), n[at].astype(np.float64)))
-    models = Models(*sides)
-    if not models.ready():
-        return models
-    held = _scored(known.filter("held").select("url", "allowed"), models)
+        for part in _slices(batches):
+            codes, n = grams(part.column(0).to_pylist())
+            at = np.minimum(np.searchsorted(keys, codes), max(0, len(keys) - 1))
+            known = keys[at] == codes if len(keys) else np.zeros(len(codes), dtype=bool)
+            sums = np.concatenate(([0], np.cumsum(np.where(known, values[at] if len(keys) else 0, 0))))
+            ends, rows = np.cumsum(n), part.column(1).to_numpy()
+            rare = np.repeat(rows, n)[~known]
+            some, none = np.zeros(len(rare), dtype=bool), np.ones(len(rows), dtype=bool)
+            columns = [np.concatenate(c) for c in ((rows, rare), (np.zeros(len(rows), dtype=np.int64), codes[~known]), (sums[ends] - sums[ends - n], np.zeros(len(rare), dtype=np.int64)), (n, np.zeros(len(rare), dtype=np.int64)), (none, some))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "gram", "total", "places", "summed"])
+
+    found = materialise(urls.select(F.col("url").cast("binary"), "row").mapInArrow(run, "row long, gram long, total long, places long, summed boolean"), "url-places")
+    rare = found.filter("NOT summed").select("row", "gram").join(ratios.filter(f"NOT ({often})").select("gram", "ratio"), "gram")
+    parts = found.filter("summed").select("row", "total", "places").unionByName(rare.select("row", F.col("ratio").alias("total"), F.lit(0).cast("long").alias("places")))
+    return parts.groupBy("row").agg(F.sum("total").alias("total"), F.sum("places").alias("places"))
+
+
+def scored(ruled: DataFrame) -> tuple[DataFrame, bool]:
+    """Adds `score` to a materialised table with url, ruled, held and row; and whether there are URLs of both kinds to learn from."""
+    side = F.when(F.col("ruled").isNull() | F.col("held"), -1).when(F.col("ruled") == "allow", 1).otherwise(0)
+    counted = materialise(counts(ruled.select("url", side.alias("side"))), "url-grams")
+    a, b, places = counted.agg(F.sum("a"), F.sum("b"), F.sum("n")).first()
+    if not a or not b:
+        return ruled.withColumn("score", F.lit(0.0)), False
+    sums = url_sums(ruled, materialise(log_ratios(counted), "url-ratios"), places)
+    score = F.coalesce(F.col("total") / UNIT / F.greatest(F.col("places"), F.lit(1)), F.lit(0.0))
+    return materialise(ruled.join(sums, "row", "left").withColumn("score", score).drop("total", "places"), "scored-urls"), True
+
+
+def calibrated(rows: DataFrame) -> float:
+    """The cut with the best balanced accuracy on the held fold."""
     bins = F.least(F.lit(BINS), F.greatest(F.lit(-BINS), F.floor(F.col("score") * BINS_PER_UNIT))).cast("int").alias("bin")
-    histogram = {(r["bin"], r["allowed"]): r["count"] for r in held.groupBy(bins, "allowed").count().collect()}
-    models.cut = best_cut(histogram)
-    return models
+    held = rows.filter("held AND ruled IS NOT NULL").groupBy(bins, (F.col("ruled") == "allow").alias("allowed")).count()
+    return best_cut({(r["bin"], r["allowed"]): r["count"] for r in held.collect()})
 
 
 def best_cut(histogram: dict[tuple[int, bool], int]) -> float:
@@ -195,9 +191,10 @@ def best_cut(histogram: dict[tuple[int, bool], int]) -> float:
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and score (log-likelihood difference per character) of each page."""
-    ruled = materialise(with_rules(pages, rules), "ruled-urls")
-    models = fit(ruled)
-    scored = _scored(ruled, models)
-    judged = F.when(F.col("ruled").isNotNull(), F.col("ruled")).when((F.col("url") == "") | (F.col("score") >= models.cut) | F.lit(not models.ready()), "allow").otherwise("block")
-    return scored.select("page_id", "host", "path", "rule", judged.alias("verdict"), F.round("score", 6).alias("score"))
+    """page_id, host, path, rule, verdict and score (log-likelihood difference per byte) of each page."""
+    held = F.crc32(F.col("url").cast("binary")) % FOLDS == 0
+    ruled = materialise(with_rules(pages, rules).withColumns({"held": held, "row": F.monotonically_increasing_id()}), "ruled-urls")
+    rows, learned = scored(ruled)
+    cut = calibrated(rows) if learned else 0.0
+    judged = F.when(F.col("ruled").isNotNull(), F.col("ruled")).when((F.col("url") == "") | (F.col("score") >= cut), "allow").otherwise("block")
+    return rows.select("page_id", "host", "path", "rule", judged.alias("verdict"), F.round("score", 6).alias("score"))

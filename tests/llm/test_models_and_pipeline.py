@@ -189,56 +189,62 @@ def test_url_edges(spark):
     assert urls.judge(spark.createDataFrame([], schema)).count() == 0
 
 
+def symbols(url):
+    return [0] * urls.ORDER + list(url.encode().lower())
+
+
 def brute_probability(known, context, symbol):
-    """Witten-Bell interpolation of one character by counting in the texts (lists of symbols)."""
+    """Witten-Bell interpolation of one byte by counting in the texts (lists of symbols)."""
     p = None
     for k in range(urls.ORDER + 1):
         tail = context[len(context) - k :]
         after = Counter(s[i] for s in known for i in range(urls.ORDER, len(s)) if s[i - k : i] == tail)
         n, kinds = sum(after.values()), len(after)
         if p is None:
-            p = (after[symbol] + 1) / (n + urls.ALPHABET)
+            p = (after[symbol] + 1) / (n + 256)
         elif n >= urls.MIN_CONTEXT:
             p = (after[symbol] + kinds * p) / (n + kinds)
     return p
 
 
-def test_url_probabilities_and_verdicts_against_plain_counting(spark):
+@pytest.mark.parametrize("hot", [1, 40, 100_000])
+def test_url_probabilities_and_verdicts_against_plain_counting(spark, monkeypatch, hot):
+    monkeypatch.setattr(urls, "HOT", hot)  # none, some and all grams go to the tasks
+    monkeypatch.setattr(urls, "SLICE_BYTES", 100)
     r = random.Random(8)
     make = lambda letters, end: "http://" + "".join(r.choice(letters) for _ in range(6)) + end
     known = [(make("abc", ".net/de/1"), True) for _ in range(60)] + [(make("bcd", ".com/en/1"), False) for _ in range(60)]
-    open_ = [make("abcd", ".io/q") for _ in range(30)]
+    open_ = [make("abcd", ".io/q") for _ in range(10)] + ["http://\u00e9\u00fc.io/" + "abc" * 60, "Http://ABC.io/\0\0", "x"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate([u for u, _ in known] + open_)], "page_id long, url string")
     judged = {x.page_id: x for x in urls.judge(pages).collect()}
-    symbols = lambda u: [0] * urls.ORDER + [int(urls._CODE[b]) for b in u.encode()]
     sides = {y: [symbols(u) for u, a in known if a == y and zlib.crc32(u.encode()) % urls.FOLDS] for y in (True, False)}
-    cut = urls.fit(urls.with_rules(pages)).cut
-    for i, u in enumerate(open_, len(known)):
+
+    def score(u):
         s = symbols(u)
         logs = [math.log(brute_probability(sides[True], s[j - urls.ORDER : j], s[j]) / brute_probability(sides[False], s[j - urls.ORDER : j], s[j])) for j in range(urls.ORDER, len(s))]
-        want = sum(logs) / len(logs)
+        return sum(logs) / len(logs)
+
+    held = Counter((math.floor(score(u) * urls.BINS_PER_UNIT), a) for u, a in known if not zlib.crc32(u.encode()) % urls.FOLDS)
+    cut = urls.best_cut(dict(held))
+    for i, u in enumerate(open_, len(known)):
+        want = score(u)
         assert judged[i].score == pytest.approx(want, abs=1e-5)
         assert judged[i].verdict == ("allow" if want >= cut else "block") or abs(want - cut) < 1e-5
 
 
-def test_url_models_against_plain_counting(spark):
+def test_url_counts_against_plain_counting(spark):
     r = random.Random(4)
-    known = [("".join(r.choice("abc/.7") for _ in range(r.randint(0, 12))), r.random() < 0.5) for _ in range(300)]
-    df = spark.createDataFrame(known, "url string, allowed boolean")
-    table = {(x.allowed, x.code): x.n for x in urls.counts(df).collect()}
-    want = Counter()
-    for u, a in known:
-        s = [0] * urls.ORDER + [int(urls._CODE[b]) for b in u.encode()]
+    known = [("".join(r.choice("abC/.7\u00e9") for _ in range(r.randint(0, 12))), r.choice((-1, 0, 1))) for _ in range(300)]
+    table = {x.gram: (x.a, x.b, x.n) for x in urls.counts(spark.createDataFrame(known, "url string, side int")).collect()}
+    a, b, n = Counter(), Counter(), Counter()
+    for u, side in known:
+        s = [0] * urls.ORDER + list(u.encode().lower())
         for i in range(urls.ORDER, len(s)):
-            code = 0
-            for c in s[i - urls.ORDER : i + 1]:
-                code = code * urls.ALPHABET + c
-            want[(a, code)] += 1
-    assert table == dict(want)
-    codes = np.array([c for a, c in want if a])
-    logs = urls.log_probabilities(codes, np.array([want[(True, c)] for c in codes], dtype=float))
-    p = np.exp(logs.reshape(-1, urls.ALPHABET)[:500])
-    assert np.allclose(p.sum(1), 1)
+            code = int.from_bytes(bytes(s[i - urls.ORDER : i + 1]), "big", signed=True)
+            a[code] += side == 1
+            b[code] += side == 0
+            n[code] += 1
+    assert table == {code: (a[code], b[code], n[code]) for code in n}
 
 
 def test_url_models_judge_held_out_urls(spark):
