@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import per_row, whole_text
+from bitloom.llm.common import per_row, remembered, whole_text
 
 #: Words that a worker remembers at most; the memory is emptied when full. Results do not depend on it.
 CACHE_WORDS = 250_000
@@ -210,7 +210,6 @@ class WordBpe:
 
 
 _CODERS: dict[str, WordBpe] = {}
-_CACHES: dict[tuple[str, str], WordCache] = {}
 
 
 def coder(path: str | None = None) -> WordBpe:
@@ -223,7 +222,7 @@ def coder(path: str | None = None) -> WordBpe:
 
 def cache(path: str, kind: str, make: Callable[[str], bytes]) -> WordCache:
     """This process's memory of encoded words."""
-    return _CACHES.setdefault((path, kind), WordCache(make))
+    return remembered((path, kind), lambda: WordCache(make))
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -242,7 +241,7 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             decoded = b" ".join(map(strings.__getitem__, each))
             yield doc_id, len(each), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-    return per_row(docs.select("doc_id", whole_text().alias("t")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, 64)
+    return per_row(docs.select("doc_id", whole_text().alias("t")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, 64, True)
 
 
 def encode_column(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -254,7 +253,7 @@ def encode_column(docs: DataFrame, path: str | None = None) -> DataFrame:
         for doc_id, text in source:
             yield doc_id, [i for w in bpe.joined(text, words, lambda i: (i,)) for i in w]
 
-    return per_row(docs.select("doc_id", whole_text().alias("t")), "doc_id long, ids array<int>", rows, 64)
+    return per_row(docs.select("doc_id", whole_text().alias("t")), "doc_id long, ids array<int>", rows, 64, True)
 
 
 def decode_column(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -48,10 +48,27 @@ def text_bytes(column: str = "text") -> Column:
     return whole_text(column).cast("binary")
 
 
-def per_row(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Iterator[tuple]], max_rows: int = 512) -> DataFrame:
+_REMEMBERED: dict[object, object] = {}
+
+
+def remembered(key: object, make: Callable[[], object]) -> object:
+    """What this worker remembers between tasks under a key. It remembers one thing at a time: stages do not add up."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def forget() -> None:
+    """Lets go of what this worker remembers."""
+    _REMEMBERED.clear()
+
+
+def per_row(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Iterator[tuple]], max_rows: int = 512, remembers: bool = False) -> DataFrame:
     """mapInArrow over tuples: `rows` gets an iterator of a partition's rows and yields output tuples.
 
-    Input is taken in slices of max_rows, so that Python objects of one slice are held at a time.
+    Input is taken in slices of max_rows, so that Python objects of one slice are held at a time. Tasks that do not say
+    that they use `remembered` let go of what a worker remembers of earlier stages.
     """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -59,6 +76,9 @@ def per_row(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Iterat
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            forget()
+
         def flat():
             for batch in batches:
                 for at in range(0, batch.num_rows, max_rows):

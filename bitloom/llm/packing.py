@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                 part = ids[at : at + 4 * capacity]
                 yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)
 
-    return per_row(docs.select("doc_id", whole_text().alias("t")), "doc_id long, piece int, start long, length long, ids_crc32 long", rows, 64)
+    return per_row(docs.select("doc_id", whole_text().alias("t")), "doc_id long, piece int, start long, length long, ids_crc32 long", rows, 64, True)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, max_tasks: int = MAX_TASKS) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.bpe import WordCache
-from bitloom.llm.common import materialise, per_row, whole_text
+from bitloom.llm.common import materialise, per_row, remembered, whole_text
 
 #: Documents above this score are rejected.
 THRESHOLD = 0.7
@@ -141,19 +141,13 @@ def evidence(marginals: list[float]) -> tuple[float, float, float]:
     return max(marginals, default=0.0), math.log1p(sum(marginals)), min(8.0, -none)
 
 
-_MEMORY: dict[str, WordCache] = {}
-
-
 class Scorer:
     """Applies a field to texts; remembers words within a worker."""
 
     def __init__(self, field: Field):
         self.field = field
         weights = field.weights
-        if field.key not in _MEMORY:
-            _MEMORY.clear()
-            _MEMORY[field.key] = WordCache(lambda w: tuple(weights[f] for f in features(w) if f in weights), MEMORY_WORDS)
-        self.words = _MEMORY[field.key]
+        self.words = remembered(field.key, lambda: WordCache(lambda w: tuple(weights[f] for f in features(w) if f in weights), MEMORY_WORDS))
 
     def read(self, text: str) -> tuple[str, list[int], list[float]]:
         """The lower-cased text, places of feature tokens, and their marginals."""
@@ -253,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
             yield (toxic, *evidence(m))
 
     # A row for each row of the sample: max_toxic + max_clean at most.
-    rows = per_row(texts, "toxic int, a double, b double, c double", measure).toArrow()
+    rows = per_row(texts, "toxic int, a double, b double, c double", measure, remembers=True).toArrow()
     y, x = rows.column(0).to_numpy().astype(float), np.column_stack([rows.column(i).to_numpy() for i in (1, 2, 3)])
     field.calibration = _logistic(x, y, np.where(y > 0, counts[1] / used[1], counts[0] / used[0]))
     return field
@@ -381,7 +375,7 @@ def scores(docs: DataFrame, field: Field) -> DataFrame:
             spans = scorer.spans(text, low, places, marginals)
             yield doc_id, out, score, int(score >= THRESHOLD), len(spans), ",".join(f"{s}:{e}" for s, e in spans)
 
-    return per_row(docs.select("doc_id", held_out().alias("held"), whole_text().alias("t")), "doc_id long, held_out boolean, score double, predicted int, n_spans long, spans string", rows)
+    return per_row(docs.select("doc_id", held_out().alias("held"), whole_text().alias("t")), "doc_id long, held_out boolean, score double, predicted int, n_spans long, spans string", rows, remembers=True)
 
 
 def keep_clean(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
@@ -394,4 +388,4 @@ def keep_clean(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> D
             if field.score(evidence(scorer.read(row[text_at] or "")[2])) < threshold:
                 yield row
 
-    return per_row(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), rows)
+    return per_row(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), rows, remembers=True)
