@@ -30,6 +30,19 @@ def bucket_middle(bucket: Column) -> Column:
     return LOW + WIDTH * bucket + WIDTH / 2
 
 
+def number_text(positions: Column, start: int = NUMBER_START) -> Column:
+    """Positions as text: the middle of each bucket, "?" for a position that is no number's."""
+    bucket = lambda p: p - start
+    middle = lambda p: bucket_middle(bucket(p)).cast("long").cast("string")
+    return F.concat_ws(" ", F.transform(positions, lambda p: F.when((bucket(p) >= 0) & (bucket(p) < BUCKETS), middle(p)).otherwise("?")))
+
+
+def range_text(low: Column, high: Column) -> Column:
+    """The outer bounds of a range of buckets, as text."""
+    bound = lambda b: (LOW + WIDTH * b).cast("long").cast("string")
+    return F.concat(F.lit("["), bound(low), F.lit(", "), bound(high + 1), F.lit("]"))
+
+
 def interpolate(bucket: Column, position: Column) -> Column:
     """A value inside a bucket; the position is clamped to [0, 1]."""
     return LOW + WIDTH * (bucket + F.least(F.greatest(position, F.lit(0.0)), F.lit(1.0)))

@@ -40,6 +40,17 @@ def number_decode(spark, d):
     return _events(spark, d).select("event_id", N.bucket_middle(b).alias("middle"), F.round(F.abs(F.col("value") - N.bucket_middle(b)), 6).alias("error"), F.round(N.interpolate(b, F.lit(0.25)), 6).alias("quarter"))
 
 
+@query("number_text", f"""
+    WITH b AS (SELECT event_id, {_BUCKET.format("value")} AS low, {_BUCKET.format("value + 50")} AS high FROM events)
+    SELECT event_id, (20 * low - 990) || CASE WHEN event_id % 3 = 0 THEN ' ? ' ELSE ' ' END || (20 * high - 990) AS numbers, '[' || (20 * low - 1000) || ', ' || (20 * high - 980) || ']' AS span FROM b""")
+def number_text(spark, d):
+    """Lists of number positions as text, some with a position that no number has, and ranges of buckets as text."""
+    b = _events(spark, d).select("event_id", N.number_bucket(F.col("value")).alias("low"), N.number_bucket(F.col("value") + 50).alias("high"))
+    low, high = (F.col(c) + N.NUMBER_START for c in ("low", "high"))
+    listed = F.when(F.col("event_id") % 3 == 0, F.array(low, F.lit(14_000).cast("long"), high)).otherwise(F.array(low, high))
+    return b.select("event_id", N.number_text(listed).alias("numbers"), N.range_text(F.col("low"), F.col("high")).alias("span"))
+
+
 @query("number_range", f"""
     WITH r AS (SELECT user_id, min(value) AS lo, max(value) AS hi, max(value) - min(value) AS step FROM events GROUP BY user_id)
     SELECT user_id, {_BUCKET.format("lo")} AS low_bucket, {_BUCKET.format("hi")} AS high_bucket, CASE WHEN step = 1 THEN NULL ELSE {_BUCKET.format("step")} END AS step_bucket FROM r WHERE lo <= hi AND step > 0""")

@@ -23,6 +23,12 @@ def test_number_buckets(spark):
     assert [list(r[0]) for r in df.filter("i >= 6").select(numbers.number_bits(F.col("v"))).collect()] == [[15099], [], [], []]
 
 
+def test_numbers_as_text(spark):
+    positions = F.array(*(F.lit(p).cast("long") for p in (15000, 15099, 15100, 14999, 15050)))
+    assert one(spark, numbers.number_text(positions), numbers.range_text(F.lit(0), F.lit(1)))[:] == ("-990 990 ? ? 10", "[-1000, -960]")
+    assert one(spark, numbers.number_text(F.array().cast("array<bigint>")))[0] == ""
+
+
 def test_numbers_in_a_text(spark):
     assert one(spark, numbers.numbers_in(F.lit("1,234 x 5.5  -3 4e 7.")))[0] == [1234.0, 5.5, -3.0]
 
