@@ -8,6 +8,7 @@ from bitloom.functions import models as M
 from bitloom.operators import codecs as C
 from bitloom.operators import dictionary as D
 from bitloom.plans.registry import query
+from bitloom.sources import coded
 from bitloom.sources.tables import long_vectors, table, vectors
 
 _LONG = "v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i FROM embeddings)"
@@ -286,6 +287,18 @@ def dictionary_product(spark, d):
     return D.fused_product(_codes(spark, d), _atoms(spark), x, D.gammas(3)).select("tile", (F.round("y", 6) + 0.0).alias("y"))
 
 
+@query("coded_tensor_product", f"""
+    WITH {_ATOMS_SQL}, {_CODES_SQL}, t AS (SELECT 'tensor-' || tile % 4 AS name, sum(pow(0.5, stage) * sign * w * (i + 1) / 64) AS y FROM codes JOIN atoms USING (atom) GROUP BY tile)
+    SELECT name, count(*) AS tiles, CAST(12 * count(*) AS BIGINT) AS coded_bytes, round(sum(y), 5) + 0.0 AS y FROM t GROUP BY name""")
+def coded_tensor_product(spark, d):
+    """Tensors whose codes were packed into a number each and out again, times a vector."""
+    tiles = coded.packed(_codes(spark, d).withColumns({"name": F.concat(F.lit("tensor-"), F.col("tile") % 4), "dictionary": F.lit("shared")}))
+    sizes = tiles.groupBy("name").agg(F.count(F.lit(1)).alias("tiles"), F.sum(2 * F.size("codes")).alias("coded_bytes"))
+    x = spark.range(64).select(F.col("id").alias("i"), ((F.col("id") + 1) / 64).alias("h"))
+    y = D.fused_product(coded.unpacked(tiles), _atoms(spark), x, D.gammas(3)).groupBy(F.concat(F.lit("tensor-"), F.col("tile") % 4).alias("name")).agg((F.round(F.sum("y"), 5) + 0.0).alias("y"))
+    return sizes.join(y, "name")
+
+
 @query("pursuit_step", f"""WITH {_LONG}, {_ATOMS_SQL}, p AS (SELECT vec_id AS tile, atom, round(sum(v * w), 8) AS p FROM v JOIN atoms ON atoms.i = v.i GROUP BY vec_id, atom)
     SELECT tile, atom, CASE WHEN p < 0 THEN -1 ELSE 1 END AS sign, round(abs(p), 6) AS strength FROM p QUALIFY row_number() OVER (PARTITION BY tile ORDER BY abs(p) DESC, atom) = 1""")
 def pursuit_step(spark, d):

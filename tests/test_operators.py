@@ -287,3 +287,36 @@ def test_layer_types_and_transposed_convolution(spark):
             want[3 * y : 3 * y + 2, 3 * z : 3 * z + 2] += image[y, z] * kernel
     got = spark.createDataFrame([(image.ravel().tolist(),)], "x array<double>").select(X.conv_transpose2d(F.col("x"), 3, kernel.tolist(), 3).alias("y")).first()["y"]
     assert np.allclose(np.array(got).reshape(8, 8), want)
+
+
+def test_coded_archive(spark, tmp_path):
+    from bitloom.sources import coded
+
+    rng = np.random.default_rng(3)
+    scales, path, at = D.gammas(2), f"{tmp_path}/coded", {}
+    dictionaries = {"mlp": rng.normal(size=(16, 6)), "other": rng.normal(size=(8, 6))}
+    tensors = {"a.mlp": "mlp", "b.mlp": "mlp", "c.attn": "other"}
+    codes = None
+    for name, held in tensors.items():
+        x = rng.normal(size=(5, 6))
+        tiles = spark.createDataFrame([(t, row.tolist()) for t, row in enumerate(x)], "tile long, x array<double>")
+        mine = D.encode(tiles, dictionaries[held], scales, 3).withColumns({"name": F.lit(name), "dictionary": F.lit(held)})
+        codes = mine if codes is None else codes.unionByName(mine)
+        chosen, signs = D.pursue(x, dictionaries[held], scales, 3)
+        at[name] = np.einsum("nsk,nskd->nd", np.array(scales)[None, :, None] * signs, dictionaries[held][chosen])
+    atoms = spark.createDataFrame([(n, a, i, float(w)) for n, m in dictionaries.items() for (a, i), w in np.ndenumerate(m)], "dictionary string, atom int, i int, w double")
+    coded.write(codes, atoms, scales, path)
+    index = {r["name"]: (r["dictionary"], r["tiles"], r["coded_bytes"]) for r in spark.read.parquet(f"{path}/index").collect()}
+    assert index == {n: (held, 5, 5 * 6 * 2) for n, held in tensors.items()}
+    assert coded.has(spark, path, "b.mlp") and not coded.has(spark, path, "d")
+    h = rng.normal(size=6)
+    x = spark.createDataFrame([(i, float(v)) for i, v in enumerate(h)], "i int, h double")
+    for name, want in at.items():
+        got = np.zeros((5, 6))
+        for r in coded.decompress(spark, path, name).collect():
+            got[r["tile"], r["i"]] = r["v"]
+        assert np.allclose(got, want)
+        y = {r["tile"]: r["y"] for r in coded.product(spark, path, name, x).collect()}
+        assert np.allclose([y[t] for t in range(5)], want @ h)
+    with pytest.raises(KeyError):
+        coded.decompress(spark, path, "d")
