@@ -220,9 +220,9 @@ def coder(path: str | None = None) -> WordBpe:
     return _CODERS[path]
 
 
-def cache(path: str, kind: str, make: Callable[[str], bytes]) -> WordCache:
+def cache(path: str, kind: str, make: Callable[[str], bytes], limit: int = CACHE_WORDS) -> WordCache:
     """This process's memory of encoded words."""
-    return remembered((path, kind), lambda: WordCache(make))
+    return remembered((path, kind, limit), lambda: WordCache(make, limit))
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

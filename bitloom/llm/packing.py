@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.bpe import cache, coder
+from bitloom.llm.bpe import CACHE_WORDS, cache, coder
 from bitloom.llm.common import materialise, per_row, whole_text
 
 #: Tokens of a sequence.
@@ -70,8 +70,8 @@ class SumOfSquares:
         return seq, cap - gap
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of each document's pieces."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of each document's pieces; a worker remembers cache_words words at most."""
 
     def rows(source):
         bpe = coder(path)
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
             found = model.tokenize(mapped)
             return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
-        words = cache(bpe.path, "u32", make)
+        words = cache(bpe.path, "u32", make, cache_words)
         for doc_id, text in source:
             parts = bpe.joined(text, words, lambda i: i.to_bytes(4, "little"))
             parts.append(b"\0\0\0\0")
@@ -113,7 +113,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIE
     return per_row(ordered.select(columns), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", rows)
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, block_pieces: int = BLOCK_PIECES, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Encodes, cuts and packs all documents; one row per piece."""
-    numbered = pieces(docs, capacity, path).withColumn("number", F.monotonically_increasing_id())
+    numbered = pieces(docs, capacity, path, cache_words).withColumn("number", F.monotonically_increasing_id())
     return pack(materialise(numbered, "pieces"), capacity, block_pieces)

@@ -89,7 +89,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(_documents(spark, sf_dir))
+    return packing.best_fit_packing(_documents(spark, sf_dir), cache_words=600_000)
 
 
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
