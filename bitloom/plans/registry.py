@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def _register() -> None:
     """Import the plan modules, which register their queries."""
-    from bitloom.plans import codec_plans, media_plans, model_plans, number_plans, tensor_plans, text_plans  # noqa: F401
+    from bitloom.plans import codec_plans, file_plans, media_plans, model_plans, number_plans, tensor_plans, text_plans  # noqa: F401
 
 
 _register()

@@ -114,7 +114,7 @@ def dump(metadata: dict, tensors: list[tuple[str, str, list[int], bytes]], align
     return head + b"\0" * (-len(head) % align) + body
 
 
-def _own_segments(metadata: dict) -> list[tuple[str, str, list[int], bytes]]:
+def own_segments(metadata: dict) -> list[tuple[str, str, list[int], bytes]]:
     """Segments made of the metadata: all of it, the settings, the token list and the rest of the tokenizer."""
     small = {k: v for k, v in metadata.items() if not isinstance(v, list)}
     tokens = metadata.get("tokenizer.ggml.tokens", [])
@@ -134,7 +134,7 @@ def tensors_of(files: DataFrame) -> DataFrame:
             paths, contents = batch.column(0).to_pylist(), batch.column(1)
             for i, path in enumerate(paths):
                 metadata, found = parse(contents[i].as_py())
-                rows = [*_own_segments(metadata), *found]
+                rows = [*own_segments(metadata), *found]
                 for at in range(0, len(rows), 16):
                     part = rows[at : at + 16]
                     name, label, dims, data = zip(*part)
@@ -145,12 +145,12 @@ def tensors_of(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-_OWN_KINDS = {"gguf_metadata": "METADATA_JSON", "gguf_config": "CONFIG", "tokenizer_vocab": "TOKENIZER_VOCAB", "tokenizer_model": "TOKENIZER_MODEL"}
+OWN_KINDS = {"gguf_metadata": "METADATA_JSON", "gguf_config": "CONFIG", "tokenizer_vocab": "TOKENIZER_VOCAB", "tokenizer_model": "TOKENIZER_MODEL"}
 
 
 def with_kinds(segments: DataFrame) -> DataFrame:
     """Adds kind, layer_name and layer_index by the name rules."""
-    own = F.try_element_at(F.create_map(*(F.lit(x) for kv in _OWN_KINDS.items() for x in kv)), F.col("name"))
+    own = F.try_element_at(F.create_map(*(F.lit(x) for kv in OWN_KINDS.items() for x in kv)), F.col("name"))
     return segments.withColumns({"kind": F.coalesce(own, M.segment_kind(F.col("name"), F.col("data_format"))), "layer_name": M.strip_suffix(F.col("name")), "layer_index": M.layer_index(F.col("name"))})
 
 

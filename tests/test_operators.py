@@ -1,7 +1,10 @@
 """Dictionary codes, layer graphs, sources and streams."""
 
 import gzip
+import io
 import random
+import struct
+import zipfile
 
 import numpy as np
 import pytest
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from bitloom.operators import dictionary as D
 from bitloom.operators import layers, ordering
 from bitloom.operators import tensors as X
-from bitloom.sources import archive, gguf
+from bitloom.sources import archive, gguf, model_files, onnx, torch_zip
 from bitloom.streaming import cache
 
 
@@ -155,6 +158,52 @@ def test_broken_gguf_is_an_error():
             gguf.parse(bad)
 
 
+def test_onnx_wire_format():
+    put = onnx._put
+    raw = np.arange(4, dtype="<f4")
+    half = put(1, 2) + put(2, 10) + put(5, put(0, 0)[:0] + bytes([0x80, 0x78, 0x80, 0x80, 0x01])) + put(8, "half")  # packed: 0x3c00 and 0x4000
+    long = put(1, 2) + put(2, 7) + put(7, -1) + put(7, 5) + put(8, "long")  # not packed, one negative
+    away = put(1, 9) + put(2, 1) + put(8, "away") + put(14, 1)
+    graph = b"".join(put(5, t) for t in (half, long, away)) + put(11, put(1, "x") + put(2, put(1, put(1, 1) + put(2, put(1, put(1, 3)) + put(1, put(2, "batch"))))))
+    found = {s[0]: s[1:] for s in onnx.segments(put(1, 8) + put(7, graph))}
+    assert found["half"] == ("f16", [2], np.array([1, 2], "<f2").tobytes()) and found["long"] == ("i64", [2], np.array([-1, 5], "<i8").tobytes()) and found["away"] == ("f32", [9], None)
+    assert found["model_structure"][1] == [0, 3, 1, 0] and b'"x": [3, "batch"]' in found["model_structure"][2]
+    good = onnx.dump([("a", "f32", [4], raw.tobytes())], [("n", "Relu", ["a"], ["b"], {"k": -2})])
+    assert onnx.nodes(good) == [(0, "n", "Relu", ["a"], ["b"], '{"k": -2}')]
+    for bad in (b"", good[:-3], put(1, 8), onnx.dump([("a", "f32", [5], raw.tobytes())]), b"\xff" * 12):
+        with pytest.raises(ValueError):
+            list(onnx.segments(bad))
+
+
+def test_torch_files_run_no_code(tmp_path):
+    raw = np.arange(12, dtype="<f4")
+    got = list(torch_zip.segments(torch_zip.dump([("a", "f32", [3, 2], [1, 3], 6, raw.tobytes()), ("b", "f16", [], [], 0, b"\0\x3c"), ("c", "i64", [0], [1], 0, b"")])))
+    assert got == [("a", "f32", [3, 2], raw[6:].reshape(2, 3).T.copy().tobytes()), ("b", "f16", [], b"\0\x3c"), ("c", "i64", [0], b"")]
+    mark = tmp_path / "ran"
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w") as z:
+        z.writestr("m/data.pkl", b"cposix\nsystem\n(X" + struct.pack("<I", len(f"touch {mark}")) + f"touch {mark}".encode() + b"tR.")
+    assert list(torch_zip.segments(whole.getvalue())) == [] and not mark.exists()
+    for bad in (b"", b"PK", torch_zip.dump([("a", "f32", [4], [1], 9, raw.tobytes())]), torch_zip.dump([("a", "f32", [4], [-1], 3, raw.tobytes())])):
+        with pytest.raises(ValueError):
+            list(torch_zip.segments(bad))
+
+
+def test_one_reader_for_model_files(spark, tmp_path):
+    raw = np.arange(4, dtype="<f4").tobytes()
+    (tmp_path / "a.onnx").write_bytes(onnx.dump([("blk.3.attn_q.weight", "f32", [2, 2], raw), ("scale", "u8", [1], b"x")]))
+    (tmp_path / "b.pth").write_bytes(torch_zip.dump([("ln_f.weight", "f32", [4], [1], 0, raw)]))
+    (tmp_path / "c").write_bytes(gguf.dump({}, [("x", "f16", [2], b"1234")]))
+    s = {r["name"]: r for r in model_files.read(spark, str(tmp_path)).collect()}
+    assert (s["blk.3.attn_q.weight"]["kind"], s["blk.3.attn_q.weight"]["layer_index"], bytes(s["blk.3.attn_q.weight"]["data"])) == ("ATTENTION_WEIGHTS", 3, raw)
+    assert (s["scale"]["kind"], s["ln_f.weight"]["kind"], s["x"]["kind"], s["x"]["format"], s["gguf_metadata"]["kind"]) == ("WEIGHTS_INT8", "LAYER_NORM_WEIGHTS", "WEIGHTS_FP16", "gguf", "METADATA_JSON")
+    ordered = [r["name"] for r in model_files.by_layer(model_files.read(spark, str(tmp_path)).filter("format = 'onnx'")).collect()]
+    assert ordered == ["model_structure", "model_metadata", "scale", "blk.3.attn_q.weight"]
+    (tmp_path / "d.h5").write_bytes(b"\x89HDF")
+    with pytest.raises(Exception, match="no parser"):
+        model_files.read(spark, str(tmp_path)).collect()
+
+
 def test_cache_refuses_rows_beyond_its_capacity(spark, tmp_path):
     rows = [(layer, p) for layer in (0, 1) for p in range(5 if layer else 2)]
     spark.createDataFrame(rows, "layer long, position long").write.parquet(str(tmp_path / "in"))
