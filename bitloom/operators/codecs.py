@@ -28,13 +28,54 @@ def half_up(c: Column) -> Column:
     return F.when(c < 0, -F.floor(-c + 0.5)).otherwise(F.floor(c + 0.5))
 
 
-def runs(df: DataFrame, by: list[str], order: list[Column], value: str) -> DataFrame:
-    """Runs of equal values of each group: (by, value, start, run). One sort by group serves both window steps."""
-    w = W.partitionBy(*by).orderBy(*order)
-    changed = ~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)
-    numbered = df.select(*by, F.col(value).alias("value"), (F.row_number().over(w) - 1).cast("long").alias("_r"), changed.cast("int").alias("_new"))
-    marked = numbered.withColumn("_run", F.sum("_new").over(W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "_run").agg(F.first("value").alias("value"), F.min("_r").alias("start"), F.count(F.lit(1)).alias("run")).drop("_run")
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row of `left` with the row of `right` of the same keys, nulls being equal; `right` has one row for each key."""
+    named = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(named[f"_r_{k}"])
+    return left.join(named, same).drop(*(f"_r_{k}" for k in keys))
+
+
+def _before(sums: DataFrame, by: list[str], total: str) -> Column:
+    """The sum of `total` over a group's earlier buckets."""
+    return F.sum(total).over(W.partitionBy(*by).orderBy("_bucket")) - F.col(total)
+
+
+def ranks(df: DataFrame, by: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
+    """Numbers each group's rows from 0. `bucket` never falls along the order, so that a large group is numbered in many tasks."""
+    keys = [*by, "_bucket"]
+    held = df.withColumn("_bucket", bucket)
+    counts = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*keys, _before(counts, by, "_n").alias("_start"))
+    rows = held.withColumn("_row", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+    return _beside(rows, starts, keys).withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_bucket", "_row", "_start")
+
+
+def runs(df: DataFrame, by: list[str], order: list[Column], value: str, bucket: Column) -> DataFrame:
+    """Runs of equal values of each group: (by, value, start, run).
+
+    `bucket` never falls along the order. Runs are found within the buckets of a group; then only the first and the last run
+    of each bucket are looked at again, and neighbours of equal value become one. So a group of any size is cut into many
+    tasks, and what passes through one task is two rows a bucket.
+    """
+    keys = [*by, "_bucket"]
+    w = W.partitionBy(*keys).orderBy(*order)
+    held = df.withColumn("_bucket", bucket).withColumn("_value", F.col(value))
+    counts = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*keys, "_n", _before(counts, by, "_n").alias("_from"))
+    changed = ~F.col("_value").eqNullSafe(F.lag("_value").over(w)) | (F.row_number().over(w) == 1)
+    numbered = held.select(*keys, "_value", (F.row_number().over(w) - 1).cast("long").alias("_r"), changed.cast("int").alias("_new"))
+    marked = numbered.withColumn("_run", F.sum("_new").over(W.partitionBy(*keys).orderBy("_r").rowsBetween(W.unboundedPreceding, 0)))
+    local = marked.groupBy(*keys, "_run").agg(F.first("_value").alias("value"), F.min("_r").alias("_at"), F.count(F.lit(1)).alias("run"))
+    inner = (F.col("_at") > 0) & (F.col("_at") + F.col("run") < F.col("_n"))
+    placed = _beside(local, starts, keys).select(*by, "value", "run", (F.col("_from") + F.col("_at")).alias("start"), F.when(inner, F.struct("_bucket")).alias("_place"))
+    # Inner runs stay with their bucket; the first and last runs of all buckets of a group, where _place is null, meet.
+    along = W.partitionBy(*by, "_place").orderBy("start")
+    meets = F.col("value").eqNullSafe(F.lag("value").over(along)) & (F.lag(F.col("start") + F.col("run")).over(along) == F.col("start"))
+    islands = placed.withColumn("_new", (~F.coalesce(meets, F.lit(False))).cast("int"))
+    islands = islands.withColumn("_island", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    return islands.groupBy(*by, "_place", "_island").agg(F.first("value").alias("value"), F.min("start").alias("start"), F.sum("run").alias("run")).drop("_place", "_island")
 
 
 def split_runs(coded: DataFrame, most: int = MAX_RUN) -> DataFrame:
@@ -48,14 +89,24 @@ def expand_runs(coded: DataFrame) -> DataFrame:
     return coded.withColumn("place", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("run") - 1)))
 
 
-def deltas(df: DataFrame, by: list[str], pos: str) -> DataFrame:
-    """Adds `delta`, the difference to the position before (to zero for the first)."""
-    return df.withColumn("delta", F.col(pos) - F.lag(pos, 1, 0).over(W.partitionBy(*by).orderBy(pos)))
-
-
-def undelta(df: DataFrame, by: list[str], rank: str) -> DataFrame:
-    """Adds `pos`, the running sum of the differences."""
-    return df.withColumn("pos", F.sum("delta").over(W.partitionBy(*by).orderBy(rank).rowsBetween(W.unboundedPreceding, 0)))
+def deltas(df: DataFrame, by: list[str], pos: str, width: int = 1 << 20) -> DataFrame:
+    """Adds `delta`, the difference to the position before (to zero for the first); buckets hold `width` positions each."""
+    keys = [*by, "_bucket"]
+    held = df.withColumn("_bucket", F.floor(F.col(pos) / width))
+    last = held.groupBy(*keys).agg(F.max(pos).alias("_last"))
+    earlier = last.select(*keys, F.lag("_last", 1, 0).over(W.partitionBy(*by).orderBy("_bucket")).alias("_earlier"))
+    inside = held.withColumn("_inside", F.lag(pos).over(W.partitionBy(*keys).orderBy(pos)))
+    return _beside(inside, earlier, keys).withColumn("delta", F.col(pos) - F.coalesce("_inside", "_earlier")).drop("_bucket", "_inside", "_earlier")
+
+
+def undelta(df: DataFrame, by: list[str], rank: str, width: int = 1 << 20) -> DataFrame:
+    """Adds `pos`, the running sum of the differences; buckets hold `width` ranks each."""
+    keys = [*by, "_bucket"]
+    held = df.withColumn("_bucket", F.floor(F.col(rank) / width))
+    sums = held.groupBy(*keys).agg(F.sum("delta").alias("_sum"))
+    starts = sums.select(*keys, _before(sums, by, "_sum").alias("_from"))
+    inside = held.withColumn("_inside", F.sum("delta").over(W.partitionBy(*keys).orderBy(rank).rowsBetween(W.unboundedPreceding, 0)))
+    return _beside(inside, starts, keys).withColumn("pos", F.col("_from") + F.col("_inside")).drop("_bucket", "_inside", "_from")
 
 
 def varint_bytes(c: Column) -> Column:

@@ -24,7 +24,7 @@ _RUNS = """
 def rle_runs(spark, d):
     """Runs of equal event types in each user's order of time."""
     e = table(spark, d, "events")
-    return C.runs(e, ["user_id"], [F.col("ts"), F.col("event_id")], "event_type")
+    return C.runs(e, ["user_id"], [F.col("ts"), F.col("event_id")], "event_type", F.date_trunc("month", F.col("ts")))
 
 
 @query("rle_runs_255", """
@@ -35,7 +35,7 @@ def rle_runs(spark, d):
 def rle_runs_255(spark, d):
     """Byte runs are stored with at most 255 repeats each."""
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("p"), (F.col("l_quantity") >= 25).cast("int").alias("bit"), "l_quantity", "l_orderkey")
-    return C.split_runs(C.runs(rows, ["flag", "p"], [F.col("l_quantity"), F.col("l_orderkey")], "bit"))
+    return C.split_runs(C.runs(rows, ["flag", "p"], [F.col("l_quantity"), F.col("l_orderkey")], "bit", F.col("l_quantity")))
 
 
 @query("rle_decode", f"WITH {_RUNS} SELECT user_id, value, start + k AS place FROM (SELECT *, unnest(range(0, run)) AS k FROM runs)")
@@ -60,9 +60,9 @@ def delta_varint_size(spark, d):
 @query("delta_decode", "SELECT DISTINCT user_id, event_id AS pos FROM events")
 def delta_decode(spark, d):
     """Positions restored by running sums of the differences."""
-    w = W.partitionBy("user_id").orderBy("pos")
     deltas = C.deltas(table(spark, d, "events").select("user_id", F.col("event_id").alias("pos")).distinct(), ["user_id"], "pos")
-    stored = deltas.select("user_id", "delta", F.row_number().over(w).alias("ordinal"))  # what a file of differences holds
+    numbered = C.ranks(deltas, ["user_id"], [F.col("pos")], F.floor(F.col("pos") / (1 << 20)), "ordinal")
+    stored = numbered.select("user_id", "delta", "ordinal")  # what a file of differences holds
     return C.undelta(stored, ["user_id"], "ordinal").select("user_id", "pos")
 
 

@@ -103,7 +103,7 @@ def quantile_bins(spark, d):
     starts = counted.groupBy("bucket").agg(F.sum("n").alias("total"))
     starts = starts.select("bucket", (F.sum("total").over(W.orderBy("bucket")) - F.col("total")).alias("start"), F.sum("total").over(W.partitionBy()).alias("rows"))
     inside = F.sum("n").over(W.partitionBy("bucket").orderBy("value"))
-    ranked = counted.withColumn("upto", inside).join(F.broadcast(starts), "bucket")
+    ranked = counted.withColumn("upto", inside).join(starts, "bucket")
     spans = ranked.select("value", (F.col("start") + F.col("upto") - F.col("n")).alias("lo"), (F.col("start") + F.col("upto")).alias("hi"), "rows")
     wanted = F.filter(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda b: F.struct(b.cast("long").alias("boundary"), F.least(F.floor(b * F.col("rows") / 100), F.col("rows") - 1).alias("i"))), lambda x: (x["i"] >= F.col("lo")) & (x["i"] < F.col("hi")))
     return spans.select("value", F.explode(wanted).alias("w")).select(F.col("w.boundary").alias("boundary"), "value")

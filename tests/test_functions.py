@@ -80,11 +80,31 @@ def test_set_overlap(spark):
 
 def test_runs_of_300_and_back(spark):
     df = spark.createDataFrame([(0, i, 1) for i in range(300)] + [(0, 300 + i, None) for i in range(2)] + [(0, 302, 1)], "g int, i int, v int")
-    coded = codecs.split_runs(codecs.runs(df, ["g"], [F.col("i")], "v"))
+    coded = codecs.split_runs(codecs.runs(df, ["g"], [F.col("i")], "v", F.floor(F.col("i") / 40)))
     assert sorted((r["start"], r["value"], r["run"]) for r in coded.collect()) == [(0, 1, 255), (255, 1, 45), (300, None, 2), (302, 1, 1)]
     assert codecs.expand_runs(coded).count() == 303
 
 
+def test_runs_and_deltas_of_groups_cut_into_buckets(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(g, 3 * i + r.randrange(3), r.choice([0, 0, 0, 1, None])) for g in (None, 1, 2) for i in range(200 if g else 90)]
+    df = spark.createDataFrame(rows, "g int, i int, v int")
+    expected = set()
+    for g in (None, 1, 2):
+        values = [v for _, _, v in sorted((x for x in rows if x[0] == g), key=lambda x: x[1])]
+        cuts = [0, *(k for k in range(1, len(values)) if values[k] != values[k - 1]), len(values)]
+        expected |= {(g, values[a], a, b - a) for a, b in zip(cuts, cuts[1:])}
+    for width in (1, 4, 50, 10_000):
+        coded = codecs.runs(df, ["g"], [F.col("i")], "v", F.floor(F.col("i") / width)).collect()
+        assert len(coded) == len(expected) and {tuple(x) for x in coded} == expected
+        split = codecs.deltas(df.select("g", "i"), ["g"], "i", width)
+        stored = codecs.ranks(split, ["g"], [F.col("i")], F.floor(F.col("i") / 20), "n").drop("i")
+        restored = codecs.undelta(stored, ["g"], "n", width).collect()
+        assert sorted((x["g"] or 0, x["pos"], x["n"]) for x in restored) == sorted((g or 0, i, n) for g in (None, 1, 2) for n, i in enumerate(sorted(x[1] for x in rows if x[0] == g)))
+
+
 def test_deltas_and_varints(spark):
     df = spark.createDataFrame([(0, p) for p in (3, 7, 20)], "g int, p int")
     assert sorted(r["delta"] for r in codecs.deltas(df, ["g"], "p").collect()) == [3, 4, 13]
