@@ -450,3 +450,16 @@ def part_patterns(spark, d):
     file = F.when(k % 3 == 0, F.concat(s, F.lit("-0000"), k % 4 + 1, F.lit("-of-00004.gguf"))).when(k % 3 == 1, F.concat(s, F.lit(".gguf.0000"), k % 5 + 1)).otherwise(F.concat(s, F.lit("_part"), k % 6 + 1, F.lit(".onnx")))
     m = table(spark, d, "part").select(M.file_part(file).alias("m")).select("m.*").distinct()
     return m.groupBy("base", "pattern").agg(F.count(F.lit(1)).alias("parts"), ((F.count(F.lit(1)) == F.max("number")) & (F.min("number") == 1)).alias("gapless"))
+
+
+@query("code_errors", f"""
+    WITH {_LONG}, a AS (SELECT CAST(unnest(range(64)) AS BIGINT) AS a), c AS (SELECT vec_id, a, sum(v * (1 - 2 * (bit_count(i & a) % 2))) / 8.0::DOUBLE AS c FROM v, a GROUP BY vec_id, a),
+    p AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(round(c, 10)) DESC, a) <= 4 AS used FROM c),
+    r AS (SELECT *, CASE WHEN used THEN c - sign(c) ELSE c END AS rest FROM p),
+    h AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(round(rest, 10)) DESC, a) <= 2 AS again FROM r)
+    SELECT vec_id AS tile, round(sum(CASE WHEN used THEN 0 ELSE c * c END) / sum(c * c), 6) + 0.0 AS "real", round(sum(rest * rest) / sum(c * c), 6) + 0.0 AS "binary", round(sum(CASE WHEN again THEN 0 ELSE rest * rest END) / sum(c * c), 6) + 0.0 AS hybrid
+    FROM h GROUP BY vec_id""")
+def code_errors(spark, d):
+    """Errors of real, sign-only and two-step codes of vectors over the Walsh dictionary, four atoms a vector."""
+    e = D.code_errors(vectors(spark, d).select(F.col("vec_id").alias("tile"), "x"), D.walsh(64), 4)
+    return e.select("tile", *((F.round(c, 6) + 0.0).alias(c) for c in ("real", "binary", "hybrid")))

@@ -67,6 +67,23 @@ def test_real_codes_beat_binary_ones():
     error = lambda y: ((tiles - y) ** 2).mean()
     assert error(real) < error(D.hybrid_codes(tiles, atoms, 4)) < error(binary) + 1e-9 or error(real) < error(binary)
     assert all(len(set(row)) == 4 for row in chosen.tolist())
+    for t in range(12):  # each step takes the atom nearest to what an exact fit of the atoms so far leaves
+        left, taken = tiles[t], []
+        for j in range(4):
+            products = [-1 if a in taken else abs(float(atoms[a] @ left)) for a in range(20)]
+            taken.append(int(np.argmax(products)))
+            fit = np.linalg.lstsq(atoms[taken].T, tiles[t], rcond=None)[0]
+            left = tiles[t] - fit @ atoms[taken]
+        assert taken == chosen[t].tolist() and np.allclose(fit, c[t])
+    with pytest.raises(ValueError):
+        D.real_codes(tiles, atoms, 21)
+
+
+def test_code_errors_of_zeros_and_of_one_atom(spark):
+    atoms = D.walsh(4)
+    df = spark.createDataFrame([(1, [0.0] * 4), (2, (3.0 * atoms[2]).tolist())], "tile int, x array<double>")
+    got = {r["tile"]: (r["real"], r["binary"], r["hybrid"]) for r in D.code_errors(df, atoms, 1).collect()}
+    assert got[1] == (0, 0, 0) and np.allclose(got[2], (0, 4 / 9, 0))
 
 
 def test_codes_pack_and_unpack(spark):
