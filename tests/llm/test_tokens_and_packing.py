@@ -111,6 +111,11 @@ def test_packing(spark):
     check_packing(many, values)
 
 
+def test_packing_does_not_depend_on_the_words_that_workers_remember(spark):
+    few, many = (sorted(map(tuple, packing.best_fit_packing(edge.docs(spark), cache_words=n).collect()), key=str) for n in (1, 600_000))
+    assert few == many
+
+
 def test_sequences_of_many_blocks_stay_apart_in_one_partition(spark):
     values = edge.texts(n=120)
     docs = edge.docs(spark, values).repartition(5, "doc_id")
