@@ -25,12 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Narrow rows that make up a file where their number is known.
+ROWS_PER_FILE = 50_000
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
 
-    The files go when the application ends.
+    The files go when the application ends. rows: what the table has at most, if that is known; there are then no more
+    files than so many rows need, as each costs its writer a few processes on a local file system.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = f"{shared_dir(spark)}/bitloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

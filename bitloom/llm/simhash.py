@@ -5,13 +5,14 @@ pair differs by at most one bit, so the pair shares a variant of that segment wi
 fingerprint is indexed under its 2 x 32 variants; an equality join finds candidates and the join condition verifies
 them. A pair that shares several variants is reported under one canonical variant only. Nearly all variants belong to
 one fingerprint alone: variants are counted first, which shuffles eight bytes of each, and only those that two or more
-share are joined.
+share are joined. Fingerprints are dealt out for the count, so that a task holds a bounded number of variants.
 
 Buckets with more than `max_bucket` fingerprints are not joined: their members are indexed under all 2,016 two-bit
 masks of the whole fingerprint instead. At most four fingerprints share such a key and all of them link, so nothing is
 lost, no pairs of a large group are formed, and the work stays linear in the group.
 
-Components come from alternating large-star and small-star rounds on tables in the shared folder.
+Components come from alternating large-star and small-star rounds on tables in the shared folder, with as many files as
+their edges need.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; a
 text of fewer than three words is one shingle; rows that repeat a doc_id count once each for their fingerprint; rows
@@ -31,6 +32,8 @@ from bitloom.llm.common import MAX_BROADCAST_IDS, keep_ids, materialise, per_row
 SHINGLE, SEED = 3, 42
 #: Fingerprints that a bucket may hold to be joined pair by pair.
 MAX_BUCKET = 128
+#: Fingerprints whose variants a task counts: a million variants, about 100 MB.
+NODES_PER_TASK = 16_384
 #: Shingles hashed at a time.
 _BLOCK = 1 << 16
 
@@ -74,10 +77,15 @@ def _variants(nodes: DataFrame) -> DataFrame:
     return numbered.select("node", "fp", "v", segment.alias("seg")).select("node", "fp", F.expr("shiftleft(seg & ~shiftleft(1L, v % 32), 6) | v").alias("key"))
 
 
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """The fingerprints, about NODES_PER_TASK to a task and no fewer tasks than cores."""
+    return nodes.repartition(max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // NODES_PER_TASK)), "fp")
+
+
 def _shared(nodes: DataFrame) -> DataFrame:
     """The variants that two or more fingerprints share: key, node, fp and how many share it (n)."""
     keyed = _variants(nodes)
-    twice = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-variants")
+    twice = materialise(_variants(_dealt(nodes)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-variants")
     # Two numbers a key: broadcast where the count allows, else one more shuffle of the variants.
     small = twice.count() <= MAX_BROADCAST_IDS
     return materialise(keyed.join(F.broadcast(twice) if small else twice.hint("merge"), "key"), "shared")
@@ -124,11 +132,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = at.union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "large-star")
+        large = materialise(large, "large-star", before["n"])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        at = materialise(small, "small-star")
+        at = materialise(small, "small-star", 2 * before["n"])
         now = at.agg(*sign).first()
         if now == before:
             break

@@ -155,6 +155,48 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert all(got[i] == 0 for i in range(1, 61)) and all(got[i] == 100 for i in range(101, 180))
 
 
+def test_rounds_write_as_many_files_as_their_edges_need(spark, monkeypatch):
+    files, write = [], simhash.materialise
+
+    def counted(df, label, *rows):
+        out = write(df, label, *rows)
+        if label in ("large-star", "small-star"):
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)], "u long, v long")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {x.node: x.component for x in simhash.components(edges).collect()}
+        assert files and max(files) == 1
+        # More rows than a file is made for.
+        monkeypatch.setattr(common, "ROWS_PER_FILE", 20)
+        files.clear()
+        assert {x.node: x.component for x in simhash.components(edges).collect()} == got
+        assert 1 < max(files) <= 14  # of 2 * 139 edges at most
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert all(got[i] == 0 for i in range(1, 61)) and all(got[i] == 100 for i in range(101, 180))
+
+
+def test_a_task_counts_the_variants_of_a_bounded_number_of_fingerprints(spark, monkeypatch):
+    r = random.Random(4)
+    prints = {r.getrandbits(63) for _ in range(100)}
+    prints |= {p ^ 1 << r.randrange(63) for p in list(prints)[:40]}
+    nodes = common.materialise(spark.createDataFrame(list(enumerate(prints)), "node long, fp long").coalesce(1), "test")
+    pairs = lambda: sorted((x.u, x.v) for x in simhash.links(nodes).collect())
+    want = pairs()
+    assert len(want) >= 40
+    monkeypatch.setattr(simhash, "NODES_PER_TASK", 10)
+    dealt = simhash._dealt(nodes)
+    assert dealt.rdd.getNumPartitions() == -(-len(prints) // 10) and dealt.count() == len(prints)
+    assert pairs() == want
+
+
 def test_keep_ids(spark):
     docs = edge.odd_docs(spark)
     flags = spark.createDataFrame([(7, True), (7, True), (None, False), (3, True), (None, True)], "doc_id long, kept boolean")
