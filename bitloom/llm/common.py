@@ -125,8 +125,9 @@ def keep_ids(docs: DataFrame, decisions: DataFrame, key: Column | None = None) -
     repeated ids alone.
     """
     by_id = decisions.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    dropped = materialise(by_id.filter("NOT kept").select(F.col("doc_id").alias("dropped_id")), "dropped-ids")
-    repeated = materialise(by_id.filter("kept AND n > 1").select(F.col("doc_id").alias("repeated_id")), "repeated-ids")
+    told = materialise(by_id.filter("NOT kept OR n > 1").select("doc_id", "kept"), "dropped-and-repeated-ids")
+    dropped = told.filter("NOT kept").select(F.col("doc_id").alias("dropped_id"))
+    repeated = told.filter("kept").select(F.col("doc_id").alias("repeated_id"))
 
     def dealt(side: DataFrame) -> DataFrame:
         return F.broadcast(side) if side.count() <= MAX_BROADCAST_IDS else side.hint("merge")

@@ -205,6 +205,22 @@ def test_keep_ids(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 7), (True, 0)]
 
 
+def test_keep_ids_groups_the_decisions_once(spark, monkeypatch):
+    tables, write = [], common.materialise
+
+    def counted(df, label, *rows):
+        tables.append(write(df, label, *rows))
+        return tables[-1]
+
+    monkeypatch.setattr(common, "materialise", counted)
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e"), (None, "f")], "doc_id long, text string")
+    flags = spark.createDataFrame([(1, True, "a"), (2, False, "b"), (3, True, "c"), (3, False, "d"), (4, None, "e"), (None, False, "f")], "doc_id long, kept boolean, key string")
+    kept = common.keep_ids(docs, flags, docs["text"])
+    # An undecided id is not dropped by the anti-join, as before.
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a"), (3, "c"), (4, "e")]
+    assert len(tables) == 1
+
+
 def test_keep_ids_with_clashing_columns(spark):
     docs = edge.docs(spark)
     n = docs.count()
