@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import os
 import random
 import struct
 import zipfile
@@ -386,3 +387,53 @@ def test_coded_archive(spark, tmp_path):
         assert np.allclose([y[t] for t in range(5)], want @ h)
     with pytest.raises(KeyError):
         coded.decompress(spark, path, "d")
+
+
+def plan_of(df):
+    """The nodes of a plan from the top, before it runs."""
+    return [line.strip(" :+-*(0123456789)") for line in df._jdf.queryExecution().sparkPlan().toString().split("\n")]
+
+
+def turns_table(spark, path, turns=60):
+    rows = [(c, t, "user", " ".join(f"w{(c * 97 + t * 31 + k * k) % 4000}" for k in range(20)) + f" {c}! (x) {c * 7}.") for c in range(turns) for t in range(3)]
+    rows += [(1, 1, "user", "w5 again"), (900, 0, "user", None), (901, 0, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def against_sql(spark, path, name):
+    """Rows of a query and of its SQL over a folder's tables, sorted."""
+    import duckdb
+
+    from bitloom.plans.registry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for at in os.listdir(path):
+        con.sql(f"CREATE VIEW {at.removesuffix('.parquet')} AS SELECT * FROM '{path}/{at}/*.parquet'")
+    df = QUERIES[name](spark, path)
+    return sorted(map(tuple, df.collect())), sorted(con.sql(ORACLES[name]).select(*df.columns).fetchall())
+
+
+def test_decoded_texts_are_not_shuffled_and_a_vocabulary_of_slices_gives_the_same(spark, tmp_path, monkeypatch):
+    from bitloom.plans import text_plans
+
+    path = turns_table(spark, tmp_path)
+    top = plan_of(text_plans.sdr_decode(spark, path))
+    assert "Aggregate" not in " ".join(top[: next(i for i, x in enumerate(top) if x.startswith("MapInArrow"))])
+    for most in (text_plans.MAX_WORDS, 1250):
+        monkeypatch.setattr(text_plans, "MAX_WORDS", most)
+        ours, theirs = against_sql(spark, path, "sdr_decode")
+        assert ours == theirs
+
+
+def test_decoded_words_are_made_in_as_many_tasks_as_the_session_has(spark, tmp_path, monkeypatch):
+    from bitloom.plans import text_plans
+
+    path = turns_table(spark, tmp_path)
+    df = text_plans.word_decode(spark, path)
+    df.collect()
+    assert df.rdd.getNumPartitions() == 4
+    for most in (text_plans.MAX_WORDS, 1250):
+        monkeypatch.setattr(text_plans, "MAX_WORDS", most)
+        ours, theirs = against_sql(spark, path, "word_decode")
+        assert ours == theirs
