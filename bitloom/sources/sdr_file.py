@@ -2,27 +2,59 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.functions.base import let
 from bitloom.operators.sets import TOTAL
 
 
 def packed(pos: Column, width: int = TOTAL) -> Column:
     """An array of positions as bytes, low bit first; positions outside the width are left out.
 
-    The bytes are written as hexadecimal text, a run of zeros in front of each byte that is set, so that work follows the
-    number of positions and not the width.
+    Sets are laid out some 64 at a time in Arrow batches, so that work follows positions and bytes.
     """
-    inside = F.array_sort(F.filter(F.array_distinct(pos), lambda p: (p >= 0) & (p < width)))
 
-    def written(ps: Column) -> Column:
-        each = F.transform(F.array_distinct(F.transform(ps, lambda p: F.floor(p / 8))), lambda b: F.struct(b.alias("b"), F.aggregate(F.filter(ps, lambda p: F.floor(p / 8) == b), F.lit(0).cast("long"), lambda a, p: a + F.pow(F.lit(2), p % 8).cast("long")).alias("v")))
-        gap = lambda es, e, i: (e["b"] - F.coalesce(F.when(i > 0, F.get(es, i - 1)["b"]), F.lit(-1)) - 1).cast("int")
-        return let(each, lambda es: F.array_join(F.transform(es, lambda e, i: F.concat(F.repeat(F.lit("00"), gap(es, e, i)), F.lpad(F.hex(e["v"]), 2, "0"))), ""))
-
-    return F.unhex(F.rpad(let(inside, written), 2 * ((width + 7) // 8), "0"))
+    @F.arrow_udf("binary")
+    def pack(sets: pa.Array) -> pa.Array:
+        size, out = (width + 7) // 8, []
+        for at in range(0, len(sets), SETS):
+            some = sets.slice(at, SETS)
+            values, lengths = some.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(some), 0).to_numpy()
+            rows, inside = np.repeat(np.arange(len(some)), lengths), (values >= 0) & (values < width)
+            bits = np.zeros((len(some), size * 8), dtype=np.uint8)
+            bits[rows[inside], values[inside].astype(np.int64)] = 1
+            data = np.packbits(bits, axis=1, bitorder="little")
+            out += [row.tobytes() if ok else None for row, ok in zip(data, some.is_valid().to_pylist())]
+        return pa.array(out, pa.binary())
+
+    return pack(pos)
+
+
+#: Sets that are laid out at once.
+SETS = 64
+
+
+def unpacked(data: Column) -> Column:
+    """Active positions of packed bytes, in order."""
+
+    @F.arrow_udf("array<bigint>")
+    def unpack(rows: pa.Array) -> pa.Array:
+        found, offsets = [np.zeros(0, dtype=np.int64)], [0]
+        for row in rows:
+            if row.is_valid:
+                held = np.frombuffer(row.as_buffer(), dtype=np.uint8)
+                at = np.flatnonzero(held)
+                byte, bit = np.nonzero(np.unpackbits(held[at, None], axis=1, bitorder="little"))
+                found.append(at[byte] * 8 + bit)
+                offsets.append(offsets[-1] + len(byte))
+            else:
+                offsets.append(offsets[-1])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found)), mask=rows.is_null())
+
+    return unpack(data)
 
 
 def to_binary(codes: Column) -> Column:
