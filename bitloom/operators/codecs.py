@@ -60,13 +60,16 @@ def runs(df: DataFrame, by: list[str], order: list[Column], value: str, bucket:
     tasks, and what passes through one task is two rows a bucket.
     """
     keys = [*by, "_bucket"]
-    w = W.partitionBy(*keys).orderBy(*order)
-    held = df.withColumn("_bucket", bucket).withColumn("_value", F.col(value))
+    # Dealt to a given number of tasks, which adaptive execution keeps: rows take far more room sorted than dealt. One sort serves all windows.
+    named = [f"_o{i}" for i in range(len(order))]
+    w = W.partitionBy(*keys).orderBy(*named)
+    held = df.select(*by, bucket.alias("_bucket"), F.col(value).alias("_value"), *(o.alias(n) for o, n in zip(order, named)))
     counts = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select(*keys, "_n", _before(counts, by, "_n").alias("_from"))
-    changed = ~F.col("_value").eqNullSafe(F.lag("_value").over(w)) | (F.row_number().over(w) == 1)
-    numbered = held.select(*keys, "_value", (F.row_number().over(w) - 1).cast("long").alias("_r"), changed.cast("int").alias("_new"))
-    marked = numbered.withColumn("_run", F.sum("_new").over(W.partitionBy(*keys).orderBy("_r").rowsBetween(W.unboundedPreceding, 0)))
+    held = held.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    row = F.row_number().over(w)
+    numbered = held.withColumns({"_r": (row - 1).cast("long"), "_new": (~F.col("_value").eqNullSafe(F.lag("_value").over(w)) | (row == 1)).cast("int")})
+    marked = numbered.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     local = marked.groupBy(*keys, "_run").agg(F.first("_value").alias("value"), F.min("_r").alias("_at"), F.count(F.lit(1)).alias("run"))
     inner = (F.col("_at") > 0) & (F.col("_at") + F.col("run") < F.col("_n"))
     placed = _beside(local, starts, keys).select(*by, "value", "run", (F.col("_from") + F.col("_at")).alias("start"), F.when(inner, F.struct("_bucket")).alias("_place"))

@@ -33,9 +33,10 @@ def rle_runs(spark, d):
     runs AS (SELECT flag, p, bit AS value, min(r) - 1 AS start, count(*) AS run FROM g GROUP BY flag, p, bit, island)
     SELECT flag, p, CAST(value AS INT) AS value, start + 255 * k AS start, least(255, run - 255 * k) AS run FROM (SELECT *, unnest(range(0, (run + 254) // 255)) AS k FROM runs)""")
 def rle_runs_255(spark, d):
-    """Byte runs are stored with at most 255 repeats each."""
+    """Byte runs are stored with at most 255 repeats each. Buckets hold a quantity and 2^20 order keys, so that they grow in
+    number with the orders and not in size."""
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("p"), (F.col("l_quantity") >= 25).cast("int").alias("bit"), "l_quantity", "l_orderkey")
-    return C.split_runs(C.runs(rows, ["flag", "p"], [F.col("l_quantity"), F.col("l_orderkey")], "bit", F.col("l_quantity")))
+    return C.split_runs(C.runs(rows, ["flag", "p"], [F.col("l_quantity"), F.col("l_orderkey")], "bit", F.struct("l_quantity", F.shiftright("l_orderkey", 20).alias("k"))))
 
 
 @query("rle_decode", f"WITH {_RUNS} SELECT user_id, value, start + k AS place FROM (SELECT *, unnest(range(0, run)) AS k FROM runs)")

@@ -470,3 +470,13 @@ def test_packing_is_linear_in_positions_and_keeps_nulls(spark):
     assert big.agg(F.sum(F.size("p"))).first()[0] == 400 * 10000
     # Work that grew with the square of the positions took minutes here.
     assert time.time() - began < 60
+
+
+def test_runs_are_found_in_as_many_tasks_as_the_session_has_after_one_sort(spark):
+    from bitloom.operators import codecs
+
+    df = spark.range(5000, numPartitions=3).select(F.lit(1).alias("g"), "id", (F.col("id") % 7 < 3).cast("int").alias("v"))
+    out = codecs.runs(df, ["g"], [F.col("id")], "v", F.floor(F.col("id") / 100))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert out.agg(F.sum("run")).first()[0] == 5000
