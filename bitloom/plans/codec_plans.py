@@ -345,9 +345,10 @@ _CODED = f"""{_SEG},
         ELSE 3 END AS strategy FROM seg LEFT JOIN pairs USING (doc_id))"""
 
 
-def _compressed(spark, d):
-    """Documents as segments of seven kinds, coded."""
-    return coding.compress(_segments(spark, d, 7, F.col("text").cast("binary").alias("data")).select("doc_id", "kind", "data"))
+def _compressed(spark, d, **more):
+    """Documents as segments of seven kinds, coded; columns of `more` stay beside them."""
+    segments = _segments(spark, d, 7, F.col("text").cast("binary").alias("data"), *(c.alias(n) for n, c in more.items()))
+    return coding.compress(segments.select("doc_id", "kind", "data", *more))
 
 
 @query("strategy_chain", f"WITH {_CODED} SELECT doc_id, CAST(strategy AS INT) AS strategy FROM coded")
@@ -373,11 +374,10 @@ def size_by_strategy(spark, d):
 
 @query("archive_roundtrip")
 def archive_roundtrip(spark, d):
-    """Every lossless segment through coding and back: sizes and whether the bytes are the same."""
-    coded = _compressed(spark, d).filter(F.col("strategy") != archive.QUANT).withColumn("stored_size", F.octet_length("data"))
-    back = coding.decompress(coded.withColumn("size", F.col("original_size"))).select("doc_id", "size", "stored_size", F.sha2("data", 256).alias("sha"))
-    texts = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("want"))
-    return back.join(texts, "doc_id").select("doc_id", "size", "stored_size", (F.col("sha") == F.col("want")).alias("same"))
+    """Every lossless segment through coding and back: sizes and whether the bytes are the same, by digests that go along."""
+    coded = _compressed(spark, d, want=F.sha2(F.col("text").cast("binary"), 256)).filter(F.col("strategy") != archive.QUANT).withColumn("stored_size", F.octet_length("data"))
+    back = coding.decompress(coded.withColumn("size", F.col("original_size")))
+    return back.select("doc_id", "size", "stored_size", (F.sha2("data", 256) == F.col("want")).alias("same"))
 
 
 @query("largest_segments", f"WITH {_SEG} SELECT name, kind, original_size FROM seg ORDER BY original_size DESC, name LIMIT 25")

@@ -480,3 +480,14 @@ def test_runs_are_found_in_as_many_tasks_as_the_session_has_after_one_sort(spark
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
     assert out.agg(F.sum("run")).first()[0] == 5000
+
+
+def test_segments_are_coded_a_few_at_a_time():
+    import pyarrow as pa
+
+    from bitloom.operators import coding
+
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(1 << 20)] * 9 + [None, bytes(9 << 20), b""], pa.binary())], names=["data"])
+    parts = list(coding._small([batch], 0))
+    assert [p.num_rows for p in parts] == [4, 4, 2, 1, 1] and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert list(coding._small([batch.slice(0, 0)], 0)) == []
